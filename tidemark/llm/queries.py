@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, sharding
+from . import decontaminate, licenses, mixing, sharding, substrings
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs).select("doc_id", "n_bytes", "slot", "shard")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).drop("text")
@@ -31,6 +35,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_licenses": op3_licenses,
     "op5_sharding": op5_sharding,
+    "op6_substrings": op6_substrings,
     "op10_decontaminate": op10_decontaminate,
 }
 
