@@ -38,8 +38,9 @@ from .textbatch import column_bytes, prefix_hash, slices, span_hash
 
 LENGTH = 50
 GRAM = 16
-CHUNK_BYTES = 4 << 20
-BUCKET_RECORDS = 1 << 20
+CHUNK_BYTES = 2 << 20
+SLICE = 1 << 19
+BUCKET_RECORDS = 1 << 18
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 _POS = _U(28)  # bits of a position within a piece
@@ -87,7 +88,7 @@ class Runs:
 
 def runs_of(table: pa.Table, length: int, gram: int) -> Iterator[tuple[int, int, Runs]]:
     buf, offs = column_bytes(table.column("text"))
-    for d, e in slices(offs):
+    for d, e in slices(offs, SLICE):
         yield d, e, Runs(buf[offs[d] : offs[e]], offs[d : e + 1], length, gram)
 
 
@@ -271,7 +272,7 @@ def radix_groups(windows: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.
     return flags
 
 
-def _sort_windows(length: int, most: int = 1 << 18):
+def _sort_windows(length: int, most: int = 1 << 16):
     """Pass 3, a bucket's part: radix sort of windows, minimizer by minimizer; a mask of flagged windows for each run."""
 
     def run(table: pa.Table) -> pa.Table:
