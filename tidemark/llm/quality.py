@@ -54,9 +54,7 @@ def statistics(col: pa.Array) -> np.ndarray:
         per_word = lambda flags: segment_sum(flags.astype(np.int64), w.first) / np.maximum(n, 1)  # noqa: E731, B023
         lens = w.end - w.start
         h, doc = w.hashes(), w.doc()
-        keyed = np.sort(h ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         top, distinct = _tops(h, doc, e - d)
-        del keyed
         pairs = np.zeros(0, np.uint64)
         same_doc = doc[1:] == doc[:-1]
         if len(h) > 1:

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, sharding, substrings
-from .common import read
+from . import decontaminate, licenses, mixing, quality, sharding, substrings, toxicity
+from .common import crc_fold, read
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_fold(F.col("doc_id"), 5) == 0
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").filter(~held_out), label="toxic")
+    scored = model.score(docs.withColumn("held_out", held_out))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "mean_ratio", "stretch_ratio")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +25,14 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_fold(F.col("doc_id"), 3) == 1
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels").filter(~held_out), label="quality")
+    scored = quality.score(docs.withColumn("held_out", held_out), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"))
     return sharding.place(docs).select("doc_id", "n_bytes", "slot", "shard")
@@ -32,8 +48,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_licenses": op3_licenses,
+    "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op6_substrings": op6_substrings,
     "op10_decontaminate": op10_decontaminate,
