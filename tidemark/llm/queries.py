@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, quality, sharding, substrings, toxicity
+from . import decontaminate, fingerprints, licenses, mixing, quality, sharding, substrings, toxicity
 from .common import crc_fold, read
 
 
@@ -42,6 +42,10 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).drop("text")
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op6_substrings": op6_substrings,
+    "op7_fingerprints": op7_fingerprints,
     "op10_decontaminate": op10_decontaminate,
 }
 
