@@ -39,7 +39,7 @@ from .textbatch import column_bytes, prefix_hash, slices, span_hash
 LENGTH = 50
 GRAM = 16
 CHUNK_BYTES = 2 << 20
-SLICE = 1 << 19
+SLICE = 1 << 18
 BUCKET_RECORDS = 1 << 18
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max

@@ -41,7 +41,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            size = max(n, SLICE_BYTES)
+            size = 1 << (n - 1).bit_length()
             inverse = _U(pow(int(_BASE), -1, 1 << 64))
             f, i = np.full(size + 1, _BASE, np.uint64), np.full(size + 1, inverse, np.uint64)
             f[0] = i[0] = 1
