@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, licenses, mixing, quality, sharding, substrings, toxicity
+from . import chat, decontaminate, fingerprints, licenses, mixing, quality, sharding, substrings, toxicity
 from .common import crc_fold, read
 
 
@@ -46,6 +46,14 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    table = read(spark, sf_dir, "conversations")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_conversations(rows))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).drop("text")
@@ -59,6 +67,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_substrings": op6_substrings,
     "op7_fingerprints": op7_fingerprints,
+    "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
 }
 
@@ -74,4 +83,18 @@ placed AS (
 SELECT doc_id, n_bytes, CAST(slot AS BIGINT) AS slot, CAST(shard AS INTEGER) AS shard FROM placed JOIN cells USING (slot)"""
 
 
-ORACLE_SQL = {"op5_sharding": _shard_sql()}
+_CHAT_SQL = r"""
+WITH rows AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|/?INST\]|/?OUT\]|/?SYS\]|ROLE:)')) + 8
+            + CASE role WHEN 'user' THEN 6 WHEN 'assistant' THEN 5 WHEN 'system' THEN 5 ELSE 7 + 2 * strlen(role) END AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+ORACLE_SQL = {"op5_sharding": _shard_sql(), "op9_chat": _CHAT_SQL}
