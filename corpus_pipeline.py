@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, sharding
+from tidemark.llm import decontaminate, mixing, ngramjoin, quality, sharding
 from tidemark.llm.common import durable, read
 
 #: SQL cannot express the learned and the drawn stages; tests compare them with plain versions.
 ORACLE_SQL = None
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score below 0.5) go; it learns from all labels."""
+    model = quality.train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    names = docs.columns
+    scored = quality.score(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text")), model, text="_text")
+    return scored.filter("score >= 0.5").select("_row.*")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, five-word shingles at 0.8, the document of least doc_id stays."""
+    return ngramjoin.one_of_each(docs, shingle=5, percent=80)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts; documents left without words go."""
     found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), action="cut")
@@ -25,7 +39,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.place(docs)
 
 
-STAGES = [("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
+STAGES = [("quality", good), ("near duplicates", distinct), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, licenses, mixing, quality, sharding, substrings, toxicity
+from . import chat, decontaminate, fingerprints, licenses, mixing, ngramjoin, quality, sharding, substrings, toxicity
 from .common import crc_fold, read
 
 
@@ -46,6 +46,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngramjoin.with_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     table = read(spark, sf_dir, "conversations")
@@ -67,6 +72,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_substrings": op6_substrings,
     "op7_fingerprints": op7_fingerprints,
+    "op8_ngram_join": op8_ngram_join,
     "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
 }
