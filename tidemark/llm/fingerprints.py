@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, partitions
+from .common import durable, partitions, text_bytes
 
 SAMPLES = 64
 SHINGLE = 5
@@ -115,17 +115,19 @@ def neighbours(ids: DataFrame, per_range: int) -> DataFrame:
     return linked.withColumn("next", F.coalesce("next", "after")).withColumn("prev", F.coalesce("prev", "before")).drop("range", "after", "before")
 
 
-def edited_fingerprints(docs: DataFrame, *, text: str = "text", samples: int = SAMPLES, shingle: int = SHINGLE, per_range: int = 20_000) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, *, text: str = "text", samples: int = SAMPLES, shingle: int = SHINGLE, per_range: int = 20_000, part_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is a document's with its last quarter of code points replaced by the first
     as many of the next document, in ascending doc_id, the first after the last.
     """
+    spark = docs.sparkSession
     key = ["id", "hash"]
+    parts = max(partitions(spark), text_bytes(docs, text) // part_bytes)  # term counts of a part stay in memory
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text", "doc_id"))
-    ids = durable(rows.groupBy(F.col("doc_id").isNull().cast("int").alias("last"), *key).agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("chars")))
-    ids = durable(neighbours(ids, per_range).select(*key, "copies", F.col("next.id").alias("next_id"), F.col("next.hash").alias("next_hash"), F.col("prev.id").alias("prev_id"), F.col("prev.hash").alias("prev_hash"), F.floor(F.col("prev.chars") / 4).cast("int").alias("lent")))
-    texts = rows.join(ids, key)
+    ids = durable(rows.groupBy(F.col("doc_id").isNull().cast("int").alias("last"), *key).agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max(F.length("text")).alias("chars")))
+    ids = durable(neighbours(ids, per_range).select(*key, "doc_id", "copies", F.col("next.id").alias("next_id"), F.col("next.hash").alias("next_hash"), F.col("prev.id").alias("prev_id"), F.col("prev.hash").alias("prev_hash"), F.floor(F.col("prev.chars") / 4).cast("int").alias("lent")))
+    texts = rows.select(*key, "text").repartition(parts, *key).join(ids, key)  # one exchange of the texts serves every use
     heads = texts.select(F.col("prev_id").alias("id"), F.col("prev_hash").alias("hash"), F.col("copies").alias("times"), F.substring("text", F.lit(1), F.col("lent")).alias("head"))
     kept = F.length("text") - F.floor(F.length("text") / 4).cast("int")
     both = texts.join(heads, key).withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), F.col("head"))).withColumn("times", F.col("times") * F.col("copies"))
@@ -134,7 +136,7 @@ def edited_fingerprints(docs: DataFrame, *, text: str = "text", samples: int = S
     bins = bins_of(versions, [*key, "version"], "body", "times", samples, shingle)
     prints = bins.groupBy(*key).agg(F.max(F.when(F.col("version") == 0, F.col("bins"))).alias("own"), F.max(F.when(F.col("version") == 1, F.col("bins"))).alias("changed"))
     none = F.array_repeat(F.lit(0), samples)
-    full = facts.join(prints, key, "left").withColumn("own", F.coalesce("own", none)).withColumn("changed", F.coalesce("changed", none))
+    full = durable(facts.join(prints, key, "left").withColumn("own", F.coalesce("own", none)).withColumn("changed", F.coalesce("changed", none)))
     after = full.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("own").alias("next_own"))
     joined = full.join(after, ["next_id", "next_hash"])
     columns = ["doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next")]
