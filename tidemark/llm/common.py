@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,3 +55,12 @@ def partitions(spark: SparkSession) -> int:
 def crc_fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id's decimal text, modulo k; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % k
+
+
+def release() -> None:
+    """Give a Python worker's freed memory back to the system; idle workers count against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_bytes
+from .common import partitions, release, text_bytes
 from .textbatch import column_bytes, prefix_hash, slices, span_hash
 
 LENGTH = 50
@@ -346,6 +346,22 @@ def _remove(length: int, gram: int, keep_text: bool):
     return run
 
 
+def _released(function):
+    """``function`` of one or two tables, after which freed memory goes back to the system."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = function(table)
+        release()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = function(left, right)
+        release()
+        return out
+
+    return two if function.__code__.co_argcount == 2 else one
+
+
 def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) for each document.
 
@@ -363,11 +379,11 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH,
     dealt = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"), F.col(text).cast("binary").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"))
     by_chunk = dealt.groupBy("chunk")
     message = "chunk bigint, kind int, payload binary"
-    runs = by_chunk.applyInArrow(_emit_runs(length, gram, buckets), "bucket bigint, chunk bigint, payload binary")
-    compared = runs.groupBy("bucket").applyInArrow(_compare_runs, message)
+    runs = by_chunk.applyInArrow(_released(_emit_runs(length, gram, buckets)), "bucket bigint, chunk bigint, payload binary")
+    compared = runs.groupBy("bucket").applyInArrow(_released(_compare_runs), message)
     asked = compared.filter("kind = 2")
-    sent = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(_emit_bytes(length, gram, buckets), "bucket bigint, chunk bigint, payload binary, bytes binary")
-    masks = sent.groupBy("bucket").applyInArrow(_sort_windows(length), message)
+    sent = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(_released(_emit_bytes(length, gram, buckets)), "bucket bigint, chunk bigint, payload binary, bytes binary")
+    masks = sent.groupBy("bucket").applyInArrow(_released(_sort_windows(length)), message)
     told = compared.filter("kind = 1").unionByName(masks)
     result = f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_remove(length, gram, keep_text), result)
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_released(_remove(length, gram, keep_text)), result)
