@@ -1 +1,140 @@
-"""Queries."""
+"""Exit rules, books and their statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import exits as E
+from ..operators import portfolio as P
+from . import binding as B
+from .registry import query
+
+_TRADES = """
+, nb AS (SELECT *, row_number() OVER (PARTITION BY issuer ORDER BY date) - 1 AS pos FROM bars),
+trades AS (SELECT issuer * 10000 + pos AS trade_id, issuer, pos AS entry_pos, open AS entry_open, dollar_volume AS score, date FROM nb WHERE pos % 10 = 0),
+path AS (SELECT t.trade_id, t.entry_open, n.pos - t.entry_pos AS day, n.open, n.low, n.close FROM trades t JOIN nb n ON n.issuer = t.issuer AND n.pos BETWEEN t.entry_pos AND t.entry_pos + 21)"""
+
+_EXITS = _TRADES + """
+, lv AS (SELECT *, entry_open * (1 - {hard}) AS hard, greatest(entry_open, max(close) OVER (PARTITION BY trade_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) * (1 - {trail}) AS trail FROM path),
+hit AS (SELECT *, greatest(hard, trail) AS level FROM lv),
+stopped AS (SELECT trade_id, min(day) AS day FROM hit WHERE day > 0 AND least(open, low) <= level GROUP BY trade_id),
+last_bar AS (SELECT trade_id, max(day) AS day FROM path GROUP BY trade_id),
+exits AS (
+  SELECT h.trade_id, CAST(h.day AS INTEGER) AS exit_day, CASE WHEN s.day IS NULL THEN h.open ELSE least(h.open, h.level) END AS exit_price,
+         CASE WHEN s.day IS NULL THEN 'time' WHEN h.hard >= h.trail THEN 'stop' ELSE 'trail' END AS reason, CASE WHEN s.day IS NULL THEN h.open ELSE least(h.open, h.level) END / h.entry_open - 1 AS ret
+  FROM last_bar l LEFT JOIN stopped s USING (trade_id) JOIN hit h ON h.trade_id = l.trade_id AND h.day = coalesce(s.day, l.day))"""
+_STOPS = _EXITS.format(hard=0.5, trail=0.6)
+
+
+def _trades(spark, sf_dir):
+    bars = E.numbered_bars(B.bars(spark, sf_dir))
+    trades = bars.filter("pos % 10 = 0").select((F.col("issuer") * 10_000 + F.col("pos")).alias("trade_id"), "issuer", F.col("pos").alias("entry_pos"), F.col("open").alias("entry_open"), F.col("dollar_volume").alias("score"), "date")
+    return trades, bars
+
+
+def _exits(spark, sf_dir):
+    trades, bars = _trades(spark, sf_dir)
+    return E.simulate_exits(E.paths(trades.select("trade_id", "issuer", "entry_pos", "entry_open"), bars, 21), hard=0.5, trail=0.6)
+
+
+@query("b07_exit_rules", B.sql(_STOPS + " SELECT trade_id, exit_day, round(exit_price, 6) AS exit_price, reason, round(ret, 6) AS ret FROM exits"))
+def b07_exit_rules(spark, sf_dir):
+    """Also B21 and W18, W19: peak before the row, first breach."""
+    return _exits(spark, sf_dir).withColumn("exit_price", F.round("exit_price", 6)).withColumn("ret", F.round("ret", 6))
+
+
+@query("a19_exit_reasons", B.sql(_STOPS + " SELECT reason, count(*) AS n, round(avg(ret), 6) AS mean, round(median(ret), 6) AS mid, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS win FROM exits GROUP BY reason"))
+def a19_exit_reasons(spark, sf_dir):
+    return _exits(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean"), F.round(F.median("ret"), 6).alias("mid"), F.round(F.avg((F.col("ret") > 0).cast("double")), 6).alias("win"))
+
+
+@query("a18_calendar_years", B.sql(_STOPS + " SELECT CAST(year(date) AS INTEGER) AS y, count(*) AS n, round(avg(ret), 6) AS mean FROM exits JOIN trades USING (trade_id) GROUP BY ALL"))
+def a18_calendar_years(spark, sf_dir):
+    trades, _ = _trades(spark, sf_dir)
+    return _exits(spark, sf_dir).join(trades.select("trade_id", "date"), "trade_id").groupBy(F.year("date").alias("y")).agg(F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean"))
+
+
+@query("a22_trade_summary", B.sql(_STOPS + " SELECT count(*) AS n, round(exp(avg(ln(1 + greatest(ret, -0.999)) / greatest(exit_day, 1)) * 252) - 1, 4) AS annual, round(avg(exit_day), 6) AS days FROM exits"))
+def a22_trade_summary(spark, sf_dir):
+    """Annualised return of a slot: mean log return a day, a year of days."""
+    log = F.log1p(F.greatest("ret", F.lit(-0.999))) / F.greatest("exit_day", F.lit(1))
+    return _exits(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.exp(F.avg(log) * 252) - 1, 4).alias("annual"), F.round(F.avg("exit_day"), 6).alias("days"))
+
+
+@query("a15_concentration", B.sql(_STOPS + ", g AS (SELECT abs(ret) AS a, row_number() OVER (ORDER BY abs(ret) DESC, trade_id) AS k FROM exits) SELECT round(sum(a) FILTER (k = 1) / sum(a), 6) AS top1, round(sum(a) FILTER (k <= 5) / sum(a), 6) AS top5, sum(a) FILTER (k <= 5) / sum(a) > 0.3 AS warn FROM g"))
+def a15_concentration(spark, sf_dir):
+    """Also A21, the warning at 30 %."""
+    size = _exits(spark, sf_dir).select(F.abs("ret").alias("a"), "trade_id")
+    top = size.orderBy(F.desc("a"), "trade_id").limit(5).agg(F.max("a").alias("one"), F.sum("a").alias("five"))
+    both = size.agg(F.sum("a").alias("all")).crossJoin(top)  # one row each
+    return both.select(F.round(F.col("one") / F.col("all"), 6).alias("top1"), F.round(F.col("five") / F.col("all"), 6).alias("top5"), (F.col("five") / F.col("all") > 0.3).alias("warn"))
+
+
+@query("b08_slot_book")
+def b08_slot_book(spark, sf_dir):
+    """Slot-limited acceptance is sequential; tests compare it with a plain loop."""
+    trades, _ = _trades(spark, sf_dir)
+    days = B.calendar(spark, sf_dir)
+    placed = trades.join(F.broadcast(days), "date").join(_exits(spark, sf_dir).select("trade_id", "exit_day"), "trade_id")
+    books = placed.select((F.col("issuer") % 8).cast("string").alias("strategy"), "trade_id", F.col("idx").alias("entry_idx"), (F.col("idx") + F.col("exit_day")).alias("exit_idx"), F.round("score", 4).alias("score"))
+    return P.accept_by_slots(books, 5)
+
+
+@query("b01_fifo_lots")
+def b01_fifo_lots(spark, sf_dir):
+    """FIFO lots of each owner's purchases and sales; tests check conservation of shares."""
+    moves = B.filings(spark, sf_dir).filter(F.col("code").isin(B.BUY, B.SALE))
+    orders = moves.select(F.col("owner").cast("string").alias("strategy"), F.col("issuer").cast("string").alias("ticker"), F.unix_date("tx_date").cast("bigint").alias("idx"), F.col("tx_id").alias("seq"), (F.when(F.col("code") == B.BUY, F.col("shares")).otherwise(-F.col("shares"))).alias("shares"), "price")
+    return P.fifo_lots(orders)
+
+
+_DAILY = """
+, r AS (SELECT issuer, date, close / lag(close) OVER (PARTITION BY issuer ORDER BY date) - 1 AS ret FROM bars), b AS (SELECT date, level / lag(level) OVER (ORDER BY date) - 1 AS bench FROM benchmark),
+j AS (SELECT issuer, date, least(ret, 1.0) AS ret, bench FROM r JOIN b USING (date) WHERE ret IS NOT NULL AND bench IS NOT NULL)"""
+
+
+def _daily(spark, sf_dir):
+    from ..operators.windows import with_returns
+
+    level = B.benchmark(spark, sf_dir)
+    bench = level.select("date", (F.col("level") / F.lag("level").over(Window.orderBy("date")) - 1).alias("bench")).filter("bench IS NOT NULL")
+    rets = with_returns(B.bars(spark, sf_dir)).filter("ret IS NOT NULL")
+    return rets.join(F.broadcast(bench), "date").select("issuer", "date", F.least("ret", F.lit(1.0)).alias("ret"), "bench")
+
+
+@query("b09_book_statistics", B.sql(_DAILY + """
+, e AS (SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY issuer ORDER BY date) AS lg FROM j), d AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY issuer ORDER BY date)) - 1 AS dd FROM e)
+SELECT issuer, count(*) AS n, round(avg(ret) * 252, 4) AS annual, round(stddev_samp(ret) * sqrt(252), 4) AS vol, round(avg(ret) / stddev_samp(ret) * sqrt(252), 4) AS sharpe,
+       round(avg(ret) * 252 / nullif(sqrt(avg(CASE WHEN ret < 0 THEN ret * ret ELSE 0 END)) * sqrt(252), 0), 4) AS sortino, round(min(dd), 4) AS max_drawdown FROM d GROUP BY issuer"""))
+def b09_book_statistics(spark, sf_dir):
+    """Also A14: annual return, volatility, Sharpe, Sortino, maximum drawdown."""
+    w = Window.partitionBy("issuer").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _daily(spark, sf_dir).withColumn("lg", F.sum(F.log1p("ret")).over(w))
+    rows = rows.withColumn("dd", F.exp(F.col("lg") - F.max("lg").over(w)) - 1)
+    year = F.sqrt(F.lit(252))
+    down = F.sqrt(F.avg(F.when(F.col("ret") < 0, F.col("ret") * F.col("ret")).otherwise(0.0))) * year
+    return rows.groupBy("issuer").agg(F.count("*").alias("n"), F.round(F.avg("ret") * 252, 4).alias("annual"), F.round(F.stddev_samp("ret") * year, 4).alias("vol"), F.round(F.avg("ret") / F.stddev_samp("ret") * year, 4).alias("sharpe"), F.round(F.try_divide(F.avg("ret") * 252, down), 4).alias("sortino"), F.round(F.min("dd"), 4).alias("max_drawdown"))
+
+
+@query("b13_alpha_beta", B.sql(_DAILY + " SELECT issuer, round(regr_intercept(ret, bench), 6) AS alpha, round(regr_slope(ret, bench), 6) AS beta, round(regr_r2(ret, bench), 6) AS r2, round(stddev_pop(ret - bench) * sqrt(252), 4) AS te, round(avg(ret - bench) / nullif(stddev_pop(ret - bench), 0) * sqrt(252), 4) AS ir FROM j GROUP BY issuer"))
+def b13_alpha_beta(spark, sf_dir):
+    gap = F.col("ret") - F.col("bench")
+    year = F.sqrt(F.lit(252))
+    return _daily(spark, sf_dir).groupBy("issuer").agg(F.round(F.regr_intercept("ret", "bench"), 6).alias("alpha"), F.round(F.regr_slope("ret", "bench"), 6).alias("beta"), F.round(F.regr_r2("ret", "bench"), 6).alias("r2"), F.round(F.stddev_pop(gap) * year, 4).alias("te"), F.round(F.try_divide(F.avg(gap), F.stddev_pop(gap)) * year, 4).alias("ir"))
+
+
+@query("b06_buy_and_hold", B.sql("SELECT issuer, round(100000 * arg_max(close, date) / arg_min(open, date), 4) AS final_value FROM bars GROUP BY issuer"))
+def b06_buy_and_hold(spark, sf_dir):
+    return B.bars(spark, sf_dir).groupBy("issuer").agg(F.round(100_000 * F.max_by("close", "date") / F.min_by("open", "date"), 4).alias("final_value"))
+
+
+@query("b10_period_books", B.sql(_TRADES + """
+, x AS (SELECT t.trade_id, t.issuer, t.entry_pos // 21 AS period, b.open / t.entry_open - 1 AS ret FROM trades t JOIN nb b ON b.issuer = t.issuer AND b.pos = t.entry_pos + 21),
+v AS (SELECT *, 0.1 + issuer % 5 / 10.0 AS vol FROM x)
+SELECT CAST(period AS BIGINT) AS period, count(*) AS n, round(avg(ret), 6) AS equal, round(sum(ret / vol) / sum(1 / vol), 6) AS inverse_vol, round(avg(ret) - 0.002, 6) AS net FROM v GROUP BY period"""))
+def b10_period_books(spark, sf_dir):
+    trades, bars = _trades(spark, sf_dir)
+    ends = bars.select("issuer", (F.col("pos") - 21).alias("entry_pos"), F.col("open").alias("end_open"))
+    rows = trades.join(ends, ["issuer", "entry_pos"]).select(F.floor(F.col("entry_pos") / 21).alias("period"), (F.col("end_open") / F.col("entry_open") - 1).alias("ret"), (0.1 + F.col("issuer") % 5 / 10.0).alias("vol"))
+    return rows.groupBy("period").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("equal"), F.round(F.sum(F.col("ret") / F.col("vol")) / F.sum(1 / F.col("vol")), 6).alias("inverse_vol"), F.round(F.avg("ret") - 0.002, 6).alias("net"))
