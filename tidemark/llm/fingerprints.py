@@ -10,7 +10,8 @@ and the term of least ``a`` is a consistent weighted sample: two documents draw
 (term, t) with the probability of their generalised Jaccard similarity, sum of minima over
 sum of maxima of weights. Terms are dealt into ``samples`` bins by hash and each bin keeps its
 least ``a``, so every term is evaluated once, not once a sample; ``a`` is a function of (term, t),
-so bins agree where the values agree. Bins empty in both documents are left out of likeness.
+so bins agree where the values agree. Values are kept as 16-bit hashes: unlike ones look alike
+once in 65,536. Bins empty in both documents are left out of likeness.
 
 Only DataFrame functions are used: texts are shuffled once, by document, and terms are
 counted in that partitioning without another exchange.
@@ -62,12 +63,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def printed(bins: Column) -> Column:
-    """A fingerprint as text: eight hexadecimal digits a bin."""
-    return F.concat_ws("", F.transform(bins, lambda v: F.substring(F.concat(F.lit("0000000"), F.hex(v.cast("bigint"))), -8, 8)))
+    """A fingerprint as text: four hexadecimal digits a bin."""
+    return F.concat_ws("", F.transform(bins, lambda v: F.substring(F.concat(F.lit("000"), F.hex(v.cast("bigint"))), -4, 4)))
 
 
 def bins_of(texts: DataFrame, key: list[str], text: str, repeats: str, samples: int, shingle: int) -> DataFrame:
-    """(key, bins): the sampled values of each key's text as 32-bit numbers, 0 for an empty bin.
+    """(key, bins): the sampled values of each key's text as 16-bit hashes, 0 for an empty bin.
 
     ``repeats`` names a column: how many equal rows the key has, whose terms count once.
     Keys without terms have no row.
@@ -75,10 +76,10 @@ def bins_of(texts: DataFrame, key: list[str], text: str, repeats: str, samples:
     counted = texts.select(*key, repeats, F.explode(terms(F.col(text), shingle)).alias("term")).groupBy(*key, repeats, "term").agg(F.count("*").alias("n"))
     valued = counted.select(*key, F.pmod(F.xxhash64("term", F.lit(77)), F.lit(samples)).cast("int").alias("bin"), sample_value(F.col("term"), F.col("n") / F.col(repeats)).alias("a"))
     least = valued.groupBy(*key, "bin").agg(F.min("a").alias("a"))
-    value = F.shiftright(F.xxhash64("a"), 32).cast("int")
-    rows = least.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.when(value == 0, 1).otherwise(value).alias("v")))).alias("found"))
+    value = F.shiftright(F.xxhash64("a"), 48).cast("smallint")
+    rows = least.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.when(value == 0, F.lit(1).cast("smallint")).otherwise(value).alias("v")))).alias("found"))
     cells = F.sequence(F.lit(0), F.lit(samples - 1))
-    return rows.select(*key, F.transform(cells, lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0))).alias("bins"))
+    return rows.select(*key, F.transform(cells, lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0).cast("smallint"))).alias("bins"))
 
 
 def _below(cuts: list[int], value: Column) -> Column:
@@ -135,7 +136,7 @@ def edited_fingerprints(docs: DataFrame, *, text: str = "text", samples: int = S
     versions = both.select(*key, "times", F.posexplode(F.array("text", "edited")).alias("version", "body"))
     bins = bins_of(versions, [*key, "version"], "body", "times", samples, shingle)
     prints = bins.groupBy(*key).agg(F.max(F.when(F.col("version") == 0, F.col("bins"))).alias("own"), F.max(F.when(F.col("version") == 1, F.col("bins"))).alias("changed"))
-    none = F.array_repeat(F.lit(0), samples)
+    none = F.array_repeat(F.lit(0).cast("smallint"), samples)
     full = durable(facts.join(prints, key, "left").withColumn("own", F.coalesce("own", none)).withColumn("changed", F.coalesce("changed", none)))
     after = full.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("own").alias("next_own"))
     joined = full.join(after, ["next_id", "next_hash"])
