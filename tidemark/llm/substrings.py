@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release, text_bytes
+from .common import release, text_bytes
 from .textbatch import column_bytes, prefix_hash, slices, span_hash
 
 LENGTH = 50
 GRAM = 16
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20, 16 << 20  # least and most text in a chunk
 SLICE = 1 << 18
-BUCKET_RECORDS = 1 << 18
+BUCKET_RECORDS = 1 << 17, 1 << 20  # least and most runs in a bucket
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 _POS = _U(28)  # bits of a position within a piece
@@ -362,7 +362,15 @@ def _released(function):
     return two if function.__code__.co_argcount == 2 else one
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = False) -> DataFrame:
+def _count_of(total: int, bounds: tuple[int, int]) -> int:
+    """Parts of bounded size: about a thousand of them, more where they would be too large.
+
+    Every chunk sends a message to nearly every bucket, so both counts follow the data, not the cluster.
+    """
+    return max(16, -(-total // min(bounds[1], max(bounds[0], total // 1024))))
+
+
+def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) for each document.
 
     A byte goes if a ``length``-byte string over it also starts in a document of a smaller
@@ -371,10 +379,9 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH,
     """
     if not gram < length <= gram + 63:
         raise ValueError("length must be gram + 1 to gram + 63")
-    spark = docs.sparkSession
-    total, p = text_bytes(docs, text), partitions(spark)
-    chunks = max(8 * p, -(-total // chunk_bytes))
-    buckets = max(2 * p, -(-2 * total // (length - gram + 2) // BUCKET_RECORDS))
+    total = text_bytes(docs, text)
+    chunks = _count_of(total, CHUNK_BYTES)
+    buckets = _count_of(2 * total // (length - gram + 2), BUCKET_RECORDS)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"), F.col(text).cast("binary").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"))
     by_chunk = dealt.groupBy("chunk")
