@@ -42,3 +42,17 @@ def t_stat(value: str) -> Column:
 def trailing(partition: str, order: str, rows: int, end: int = -1) -> WindowSpec:
     """``rows`` rows ending ``-end`` rows before the current one."""
     return Window.partitionBy(partition).orderBy(order).rowsBetween(end - rows + 1, end)
+
+
+def counts_before(counts: DataFrame, value: str, count: str, parts: int = 64) -> DataFrame:
+    """``counts`` with ``before``, the sum of ``count`` over smaller values, without a global window.
+
+    Values (distinct) are cut at quantiles; sums of the parts run over ``parts`` rows, the rest inside each part.
+    """
+    edges = sorted(set(counts.approxQuantile(value, [k / parts for k in range(1, parts)], 0.001)))
+    part = F.size(F.filter(F.lit(edges), lambda e: e < F.col(value))) if edges else F.lit(0)
+    parted = counts.withColumn("_part", part)
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    base = parted.groupBy("_part").agg(F.sum(count).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(past(Window.orderBy("_part"))), F.lit(0)))
+    inner = F.coalesce(F.sum(count).over(past(Window.partitionBy("_part").orderBy(value))), F.lit(0))
+    return parted.withColumn("_inner", inner).join(F.broadcast(base.drop("_sum")), "_part").withColumn("before", F.col("_base") + F.col("_inner")).drop("_part", "_base", "_inner")

@@ -163,12 +163,8 @@ def v08_leak_guard(spark, sf_dir):
     rows = _signal(spark, sf_dir)
 
     def ranks(c):
-        """Rank of each distinct value: a range exchange, counts a partition, then running sums."""
-        counts = rows.groupBy(c).agg(F.count("*").alias("k"))
-        parted = counts.repartitionByRange(16, c).withColumn("p", F.spark_partition_id())
-        totals = parted.groupBy("p").agg(F.sum("k").alias("t")).withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        inner = F.coalesce(F.sum("k").over(Window.partitionBy("p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return parted.join(F.broadcast(totals), "p").select(c, (F.col("base") + inner + 1).alias(f"r{c}"))
+        """Rank of each distinct value: one more than the rows below it."""
+        return S.counts_before(rows.groupBy(c).agg(F.count("*").alias("k")), c, "k").select(c, (F.col("before") + 1).alias(f"r{c}"))
 
     both = rows.join(ranks("x"), "x").join(ranks("y"), "y").agg(F.corr("rx", "ry").alias("c"))
     return both.select(F.round("c", 6).alias("rho"), (F.abs("c") > 0.5).alias("leaks"))
