@@ -103,7 +103,7 @@ def test_ngram_join(spark, shingle, percent):
 
 
 def test_one_of_each(spark):
-    rows = copies(60)
+    rows = copies(60)[:-1]  # the last row repeats a doc_id in another component
     kept = sorted(r["doc_id"] for r in ngramjoin.one_of_each(frame(spark, [(*r, "s") for r in rows], "doc_id long, text string, node string")).collect())
     want = components(rows, 3, 90)
     assert kept == sorted([c for c in {c for _, n, c in want if n}] + [d for d, n, _ in want if not n])
@@ -139,7 +139,7 @@ def test_licenses(spark):
     rows = [(1, "CC BY-NC 4.0, general public license. CC by cc-by"), (2, None), (3, ""), (4, "x All Rights reserved"), (5, "SPDX-License-Identifier: MIT OR (GPL-2.0-only AND Apache-2.0)\nfoo"), (6, "SPDX-License-Identifier: MIT OR"), (6, "cc"), (7, "by")]
     got = {(r["doc_id"], r["n_words"]): r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
     assert [(r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in (got[1, 12], got[2, 0], got[4, 4])] == [(4, 0, 10, "cc-by,gpl"), (0, None, None, ""), (1, 1, 1, "reserved")]
-    assert "spdx-permissive" in got[5, 12]["labels"] and "spdx:invalid" in got[6, 5]["labels"]
+    assert "spdx-permissive" in got[5, 14]["labels"] and "spdx:invalid" in got[6, 5]["labels"]
     assert licenses.evaluate(licenses.to_rpn("GPL-2.0 WITH x OR MIT AND ISC")) == (True, {"gpl-2.0", "with-x", "mit", "isc"})
     for bad in ("", "MIT OR", "(MIT", "MIT)", "MIT ISC"):
         with pytest.raises(licenses.ExpressionError):
