@@ -218,6 +218,20 @@ def test_fingerprints(spark):
     assert empties[0]["fingerprint"] == empties[1]["fingerprint"] and {r["near_next"] for r in empties if r["doc_id"] == 7} == {1.0}
 
 
+def test_fingerprints_of_repeated_lines(spark):
+    line = " ".join(f"l{k}" for k in range(20)) + "\n"
+    one, two = (line * 200 + " ".join(f"{c}{k}" for k in range(204)) for c in "pq")
+    heavy = ["a b c d " * 300 + " ".join(f"{c}{k}" for k in range(60)) for c in "xy"]
+    rows = list(enumerate([one, two, *heavy, "one two three", "x y " * 9]))
+    grams = lambda t: collections.Counter(tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4))
+    got = fingerprints.edited_fingerprints(frame(spark, rows)).collect()
+    near = {r["doc_id"]: r["near_next"] for r in got}
+    assert abs(near[0] - jaccard(grams(one), grams(two))) < 0.15
+    assert abs(near[2] - jaccard(grams(heavy[0]), grams(heavy[1]))) < 0.15
+    again = fingerprints.edited_fingerprints(frame(spark, rows), cutoff=1.0).collect()  # most texts have undecided draws
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
 def test_chat_round_trip():
     random.seed(9)
     bits = ["</s>", "<s>", "[INST]", "[/INST]", "[SYS]", "[OUT]", "[ROLE:", "\\", "<", "[", "a", "\n", "é"]

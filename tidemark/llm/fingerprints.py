@@ -1,23 +1,26 @@
 """Document fingerprints by consistent weighted sampling.
 
 Terms are distinct runs of ``shingle`` words (the whole text if it has fewer), weighted by
-how often they occur. Each term draws its own gamma and uniform variates from hashes: with
-r, c ~ Gamma(2, 1), b ~ U(0, 1) and weight w,
+how often they occur. For each of ``samples`` draws a term has its own gamma and uniform
+variates from hashes: with r, c ~ Gamma(2, 1), b ~ U(0, 1) and weight w,
 
     t = floor(ln w / r + b),  y = exp(r (t - b)),  a = c / (y exp(r)),
 
-and the term of least ``a`` is a consistent weighted sample: two documents draw the same
-(term, t) with the probability of their generalised Jaccard similarity, sum of minima over
-sum of maxima of weights. Terms are dealt into ``samples`` bins by hash and each bin keeps its
-least ``a``, so every term is evaluated once, not once a sample; ``a`` is a function of (term, t),
-so bins agree where the values agree. Values are kept as 16-bit hashes: unlike ones look alike
-once in 65,536. Bins empty in both documents are left out of likeness.
+and the term of least ``a``, over all terms of the text, is a consistent weighted sample: two
+documents draw the same (term, t) with the probability of their generalised Jaccard similarity,
+sum of minima over sum of maxima of weights. Values are kept as 16-bit hashes of ``a``, which is a
+function of (term, t): unlike ones look alike once in 65,536.
+
+The least ``a`` of a text of total weight W is exponential with mean 1 / W. With r = -ln(u1 u2) and
+c = -ln(u3 u4), a >= c exp(-r) / w >= (1 - u3 u4) u1 u2 / w, so a term's logarithms are only taken
+where this bound is at most ``CUTOFF`` / W. A draw whose least ``a`` is beyond that (one in
+exp(20)) is made anew over all terms of its text, so the bound saves time and changes nothing.
 
 Only DataFrame functions are used: texts are shuffled once, by document, and terms are
 counted in that partitioning without another exchange.
 
-Defined cases: null text is empty; equal texts have equal fingerprints; empty bins are
-printed as zeros; two fingerprints of empty texts have likeness 1, and 0 with any other;
+Defined cases: null text is empty; equal texts have equal fingerprints; those of texts without
+words are printed as zeros; two fingerprints of empty texts have likeness 1, and 0 with any other;
 documents with a null doc_id come last in the order; rows equal in doc_id and text are one
 document and come back as often as they occur; among equal doc_ids the order is by text hash.
 """
@@ -31,6 +34,7 @@ from .common import durable, partitions, text_bytes
 
 SAMPLES = 64
 SHINGLE = 5
+CUTOFF = 20.0
 _WORD = r"[ \t-\r]+"
 
 
@@ -47,39 +51,46 @@ def _uniform(term: Column, k: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(term, F.lit(k)), 12).cast("double") + 0.5) / float(1 << 52)
 
 
-def sample_value(term: Column, weight: Column) -> Column:
-    """ln a of a term: least for the term that its bin samples."""
-    gamma = lambda k: -F.log(_uniform(term, k) * _uniform(term, k + 1))
-    r, ln_c, b = gamma(1), F.log(gamma(3)), _uniform(term, 5)
-    t = F.floor(F.log(weight) / r + b)
-    return ln_c - r * (t.cast("double") - b) - r
+def sample_value(term: Column, ln_weight: Column, bound: Column | None, k: int) -> Column:
+    """ln a of a term in draw ``k``; null where a is known to be beyond ``bound`` / weight."""
+    u1, u2, u3, u4 = (_uniform(term, 5 * k + j) for j in range(1, 5))
+    r, ln_c = -F.log(u1 * u2), F.log(-F.log(u3 * u4))
+    b = _uniform(term, 5 * k + 5)
+    value = ln_c - r * (F.floor(ln_weight / r + b).cast("double") - b) - r
+    return value if bound is None else F.when((1.0 - u3 * u4) * u1 * u2 <= bound, value)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal bins among those that are not empty in both; arrays of bin values, 0 if empty."""
+    """Share of equal draws; arrays of values, all 0 for a text without terms."""
     used = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), lambda v: v))
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) & (x == y)), lambda v: v))
     return F.when(used == 0, 1.0).otherwise(same / used)
 
 
 def printed(bins: Column) -> Column:
-    """A fingerprint as text: four hexadecimal digits a bin."""
+    """A fingerprint as text: four hexadecimal digits a draw."""
     return F.concat_ws("", F.transform(bins, lambda v: F.substring(F.concat(F.lit("000"), F.hex(v.cast("bigint"))), -4, 4)))
 
 
-def bins_of(texts: DataFrame, key: list[str], text: str, repeats: str, samples: int, shingle: int) -> DataFrame:
-    """(key, bins): the sampled values of each key's text as 16-bit hashes, 0 for an empty bin.
+def draws_of(texts: DataFrame, key: list[str], text: str, repeats: str, samples: int, shingle: int, cutoff: float | None = CUTOFF) -> DataFrame:
+    """(key, bins): the sampled values of each key's text as 16-bit hashes.
 
     ``repeats`` names a column: how many equal rows the key has, whose terms count once.
-    Keys without terms have no row.
+    Keys without terms have no row. Where ``cutoff`` leaves a draw undecided, its value is null.
     """
-    counted = texts.select(*key, repeats, F.explode(terms(F.col(text), shingle)).alias("term")).groupBy(*key, repeats, "term").agg(F.count("*").alias("n"))
-    valued = counted.select(*key, F.pmod(F.xxhash64("term", F.lit(77)), F.lit(samples)).cast("int").alias("bin"), sample_value(F.col("term"), F.col("n") / F.col(repeats)).alias("a"))
-    least = valued.groupBy(*key, "bin").agg(F.min("a").alias("a"))
-    value = F.shiftright(F.xxhash64("a"), 48).cast("smallint")
-    rows = least.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.when(value == 0, F.lit(1).cast("smallint")).otherwise(value).alias("v")))).alias("found"))
-    cells = F.sequence(F.lit(0), F.lit(samples - 1))
-    return rows.select(*key, F.transform(cells, lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0).cast("smallint"))).alias("bins"))
+    runs = texts.select(*key, repeats, terms(F.col(text), shingle).alias("terms"))
+    counted = runs.select(*key, repeats, F.size("terms").alias("total"), F.explode("terms").alias("term")).groupBy(*key, repeats, "total", "term").agg(F.count("*").alias("n"))
+    weight = F.col("n") / F.col(repeats)
+    valued = counted.select(*key, "total", "term", F.log(weight).alias("ln_weight"), (weight * cutoff / F.col("total") if cutoff is not None else F.lit(0.0)).alias("bound"))
+    bound = F.col("bound") if cutoff is not None else None
+    least = valued.groupBy(*key, "total").agg(*[F.min(sample_value(F.col("term"), F.col("ln_weight"), bound, k)).alias(f"a{k}") for k in range(samples)])
+
+    def value(a: Column) -> Column:
+        v = F.shiftright(F.xxhash64(a), 48).cast("smallint")
+        kept = F.when(v == 0, F.lit(1).cast("smallint")).otherwise(v)
+        return kept if cutoff is None else F.when(a <= F.log(F.lit(float(cutoff)) / F.col("total")), kept)
+
+    return least.select(*key, F.transform(F.array(*[f"a{k}" for k in range(samples)]), value).alias("bins"))
 
 
 def _below(cuts: list[int], value: Column) -> Column:
@@ -116,7 +127,7 @@ def neighbours(ids: DataFrame, per_range: int) -> DataFrame:
     return linked.withColumn("next", F.coalesce("next", "after")).withColumn("prev", F.coalesce("prev", "before")).drop("range", "after", "before")
 
 
-def edited_fingerprints(docs: DataFrame, *, text: str = "text", samples: int = SAMPLES, shingle: int = SHINGLE, per_range: int = 20_000, part_bytes: int = 2 << 20) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, *, text: str = "text", samples: int = SAMPLES, shingle: int = SHINGLE, per_range: int = 20_000, part_bytes: int = 2 << 20, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is a document's with its last quarter of code points replaced by the first
@@ -134,10 +145,19 @@ def edited_fingerprints(docs: DataFrame, *, text: str = "text", samples: int = S
     both = texts.join(heads, key).withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), F.col("head"))).withColumn("times", F.col("times") * F.col("copies"))
     facts = both.select(*key, "doc_id", "copies", "next_id", "next_hash", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")).dropDuplicates(key)
     versions = both.select(*key, "times", F.posexplode(F.array("text", "edited")).alias("version", "body"))
-    bins = bins_of(versions, [*key, "version"], "body", "times", samples, shingle)
-    prints = bins.groupBy(*key).agg(F.max(F.when(F.col("version") == 0, F.col("bins"))).alias("own"), F.max(F.when(F.col("version") == 1, F.col("bins"))).alias("changed"))
     none = F.array_repeat(F.lit(0).cast("smallint"), samples)
-    full = durable(facts.join(prints, key, "left").withColumn("own", F.coalesce("own", none)).withColumn("changed", F.coalesce("changed", none)))
+
+    def with_prints(facts: DataFrame, versions: DataFrame, cutoff: float | None) -> DataFrame:
+        bins = draws_of(versions, [*key, "version"], "body", "times", samples, shingle, cutoff)
+        prints = bins.groupBy(*key).agg(F.max(F.when(F.col("version") == 0, F.col("bins"))).alias("own"), F.max(F.when(F.col("version") == 1, F.col("bins"))).alias("changed"))
+        return durable(facts.join(prints, key, "left").withColumn("own", F.coalesce("own", none)).withColumn("changed", F.coalesce("changed", none)))
+
+    full = with_prints(facts, versions, cutoff)
+    undecided = F.exists("own", lambda v: v.isNull()) | F.exists("changed", lambda v: v.isNull())
+    again = full.filter(undecided)
+    if not again.isEmpty():
+        ids_again = again.select(*key)
+        full = full.filter(~undecided).unionByName(with_prints(again.drop("own", "changed"), versions.join(ids_again, key, "left_semi"), None))
     after = full.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("own").alias("next_own"))
     joined = full.join(after, ["next_id", "next_hash"])
     columns = ["doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next")]
