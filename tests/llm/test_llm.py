@@ -135,6 +135,37 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(cut, bench).filter("contaminated").count() == 0
 
 
+def test_cut_in_blocks(spark):
+    random.seed(16)
+    items = [(f"i{k}", " ".join(random.choice("abcde") for _ in range(n))) for k, n in enumerate([12, 3, 14, 11, 4, 13, 3])] + [("n", None)]
+    docs = [(i, " ".join(random.choice("abcdeF-é") for _ in range(50)) + "; " + str(random.choice(items)[1]) + " zz") for i in range(30)] + [(90, None), (91, ""), (92, "no such words")]
+    # taken out of the middle, one item leaves another behind
+    docs += [(93, " ".join([*items[2][1].split()[:5], *items[0][1].split(), *items[2][1].split()[5:]]))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    windows = [w[p : p + min(10, len(w))] for _, t in items for w in [WORD.findall(lower(t))] for p in range(len(w) - min(10, len(w)) + 1) if w]
+    want = {}
+    for d, t in docs:
+        while True:
+            found = list(WORD.finditer(lower(t)))
+            words, hit = [m.group() for m in found], set()
+            for win in windows:
+                hit |= {p + j for p in range(len(words) - len(win) + 1) if words[p : p + len(win)] == win for j in range(len(win))}
+            if not hit:
+                break
+            gone = set()
+            for j in hit:
+                gone |= set(range(found[j].start(), found[j].end()))
+                if j + 1 in hit:
+                    gone |= set(range(found[j].end(), found[j + 1].start()))
+            t = "".join(c for k, c in enumerate(t) if k not in gone)
+        want[d] = t
+    whole = decontaminate.decontaminate(frame(spark, docs), bench, action="cut")
+    parts = decontaminate.decontaminate(frame(spark, docs), bench, action="cut", max_windows=5)
+    assert parts.columns == whole.columns
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    assert {r["doc_id"]: r["text"] for r in parts.collect()} == want and sum(want[d] != t for d, t in docs) > 5
+
+
 def test_licenses(spark):
     rows = [(1, "CC BY-NC 4.0, general public license. CC by cc-by"), (2, None), (3, ""), (4, "x All Rights reserved"), (5, "SPDX-License-Identifier: MIT OR (GPL-2.0-only AND Apache-2.0)\nfoo"), (6, "SPDX-License-Identifier: MIT OR"), (6, "cc"), (7, "by")]
     got = {(r["doc_id"], r["n_words"]): r for r in licenses.scan_licenses(frame(spark, rows)).collect()}

@@ -8,6 +8,9 @@ by word. A document word inside any occurrence of a window is *hit*.
 The benchmark is a query set: it is broadcast in blocks of at most ``max_windows`` windows
 (8 bytes of hash and about 60 bytes of words each, so about 70 MB at the default). A larger
 benchmark takes one pass over the documents for each block, hits accumulating in a column.
+Cutting with several blocks goes in rounds: the hits of all blocks are gathered on the same text
+and cut together, and texts that were cut go through all blocks again until none is hit, so
+the result is that of one block.
 
 Defined cases: null or empty texts and items have no words; repeated items with one id count
 once; repeated documents are independent rows; a null item_id never enters the list of items
@@ -95,6 +98,17 @@ def find_hits(w, block: Block) -> Iterator[tuple[int, int, list[str]]]:
                     yield i, k, items[j]
 
 
+def _without(raw: bytes, w, hit: np.ndarray) -> bytes:
+    """Remove the hit words with what stands between them."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False]))))
+    keep, at = [], 0
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        keep.append(raw[at : w.start[a]])
+        at = int(w.end[b - 1])
+    keep.append(raw[at:])
+    return b"".join(keep)
+
+
 def _cut(raw: bytes, block: Block) -> bytes:
     """Remove hit words with what stands between them, until no window occurs."""
     while True:
@@ -106,13 +120,27 @@ def _cut(raw: bytes, block: Block) -> bytes:
             hit = np.cumsum(hit)[:-1] > 0
         if not len(raw) or not hit.any():
             return raw
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False]))))
-        keep, at = [], 0
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            keep.append(raw[at : w.start[a]])
-            at = int(w.end[b - 1])
-        keep.append(raw[at:])
-        raw = b"".join(keep)
+        raw = _without(raw, w, hit)
+
+
+def _cut_spans(text: str):
+    """Cuts the words that the hits column names out of the text, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            values = batch.column(names.index(text)).cast(pa.binary()).to_pylist()
+            for j, found in enumerate(batch.column(names.index(HITS)).to_pylist()):
+                for _, _, w in doc_words(pa.array([values[j]], pa.binary()), ALNUM) if found["spans"] else ():
+                    hit = np.zeros(len(w.start), bool)
+                    for s in found["spans"]:
+                        hit[s["first"] : s["first"] + s["words"]] = True
+                    values[j] = _without(values[j], w, hit)
+            columns = {n: batch.column(k) for k, n in enumerate(names)}
+            columns[text] = pa.array([v if v is None else v.decode("utf-8", "replace") for v in values], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
 
 
 def _scan(broadcast, text: str, cut: bool):
@@ -173,22 +201,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         raise ValueError(f"no such action: {action}")
     spark = docs.sparkSession
     out = without(docs, *HIT_COLUMNS, HITS)
-    rows = ((r[0], r[1]) for r in benchmark.select(item, item_text).toLocalIterator())
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     hits = f"{HITS} struct<items: array<string>, spans: array<struct<first: bigint, words: bigint>>>"
     digest = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    last = None
-    for block in benchmark_blocks(rows, window, max_windows):
-        if last is not None:
-            out = durable(out.mapInArrow(_scan(last, text, False), f"{base}, {hits}, {digest}").drop(*HIT_COLUMNS))
-        last = spark.sparkContext.broadcast(block)
-    if last is None:
-        last = spark.sparkContext.broadcast(Block({}))
-    several = HITS in out.columns
-    if action == "cut" and several:
-        raise ValueError("cutting needs the whole benchmark in one block; raise max_windows")
-    out = out.mapInArrow(_scan(last, text, action == "cut"), f"{base}, {hits}, {digest}").drop(HITS)
-    return out.filter(~F.col("contaminated")) if action == "drop" else out
+
+    def scanned(rows: DataFrame, shared, cut: bool = False) -> DataFrame:
+        return rows.drop(*HIT_COLUMNS).mapInArrow(_scan(shared, text, cut), f"{base}, {hits}, {digest}")
+
+    def all_but_last(rows: DataFrame):
+        """Hits of all blocks but the last, written; the last block; whether there were several."""
+        last, several = None, False
+        for block in benchmark_blocks(((r[0], r[1]) for r in benchmark.select(item, item_text).toLocalIterator()), window, max_windows):
+            if last is not None:
+                rows, several = durable(scanned(rows, last)), True
+                last.destroy()
+            last = spark.sparkContext.broadcast(block)
+        return rows, last if last is not None else spark.sparkContext.broadcast(Block({})), several
+
+    rows, last, several = all_but_last(out)
+    if action != "cut" or not several:
+        found = scanned(rows, last, action == "cut").drop(HITS)
+        return found.filter(~F.col("contaminated")) if action == "drop" else found
+    found, first, done = durable(scanned(rows, last)), True, None
+    while True:  # every round takes words from each text that is left
+        last.destroy()
+        clean = found.filter(F.col("n_hit") == 0)
+        clean = clean.drop(HITS) if first else clean.select(*[f"`{c}`" for c in out.columns], "_first.*")
+        done = clean if done is None else done.unionByName(clean)
+        left = found.filter(F.col("n_hit") > 0)
+        if left.isEmpty():
+            return done
+        if first:  # the digest is that of the whole text
+            left = left.withColumn("_first", F.struct(*HIT_COLUMNS))
+            base, first = base + f", _first {left.schema['_first'].dataType.simpleString()}", False
+        cut = left.mapInArrow(_cut_spans(text), left.schema).drop(HITS, *HIT_COLUMNS)
+        rows, last, _ = all_but_last(cut)
+        found = durable(scanned(rows, last))
 
 
 def kept_after_cut(found: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
