@@ -289,6 +289,22 @@ def test_held_out_accuracy(spark, name, label, least):
     assert found.filter("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_toxicity_counts_all_labels(spark):
+    rows = [(i, f"the {'vile' if i % 2 else 'mild'}{i % 40} thing here number {i % 7}") for i in range(800)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    whole = toxicity.train(docs, labels, min_count=1).counts
+    few = toxicity.train(docs, labels, min_count=1, max_labels=60).counts  # bounds what calibrates, not what is counted
+    assert whole.words.tolist() == few.words.tolist() and whole.stems.tolist() == few.stems.tolist() and len(whole.words) > 40
+
+
+def test_toxicity_back_off_of_all_documents(spark):
+    labelled = [(0, "some words here"), (1, "some harsh words")] * 3
+    alone = toxicity.fit_counts(frame(spark, labelled, "label int, text string"), min_count=1).choices[0]
+    more = toxicity.fit_counts(frame(spark, [*labelled, (2, "hers herd herb here we some hero")], "label int, text string"), min_count=1).choices[0]
+    assert alone.p.shape == more.p.shape and not np.allclose(alone.p, more.p)
+
+
 def test_learners_without_labels(spark):
     docs = frame(spark, [(1, "a b"), (2, None), (3, "")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
