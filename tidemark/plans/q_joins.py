@@ -171,8 +171,22 @@ placed AS (SELECT d, v, (SELECT min(idx) FROM calendar c WHERE c.date > d) + 2 A
 one AS (SELECT idx, arg_max(v, d) AS v FROM placed GROUP BY idx)
 SELECT c.date, round(last_value(v IGNORE NULLS) OVER (ORDER BY c.idx), 4) AS value FROM calendar c LEFT JOIN one USING (idx)"""))
 def j22_lag_to_calendar(spark, sf_dir):
+    """Observations of one customer in fifty, with gaps; j22_lag_all_observations has all."""
+    return _lagged(spark, sf_dir, B.table(spark, sf_dir, "orders").filter("o_custkey % 50 = 0"))
+
+
+@query("j22_lag_all_observations", B.sql("""
+, obs AS (SELECT CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-02' GROUP BY ALL),
+placed AS (SELECT d, v, (SELECT min(idx) FROM calendar c WHERE c.date > d) + 2 AS idx FROM obs),
+one AS (SELECT idx, arg_max(v, d) AS v FROM placed GROUP BY idx)
+SELECT c.date, round(last_value(v IGNORE NULLS) OVER (ORDER BY c.idx), 4) AS value FROM calendar c LEFT JOIN one USING (idx)"""))
+def j22_lag_all_observations(spark, sf_dir):
+    return _lagged(spark, sf_dir, B.table(spark, sf_dir, "orders"))
+
+
+def _lagged(spark, sf_dir, orders):
     """First trading day after the observation, plus lag - 1; the last observation of a day wins; filled forward."""
-    obs = B.table(spark, sf_dir, "orders").filter("o_orderdate >= '1995-01-02' AND o_custkey % 50 = 0").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.max("o_totalprice").alias("v")).withColumn("k", F.lit(1))
+    obs = orders.filter("o_orderdate >= '1995-01-02'").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.max("o_totalprice").alias("v")).withColumn("k", F.lit(1))
     days = B.calendar(spark, sf_dir)
     placed = asof_backward(obs, days.withColumn("k", F.lit(1)), by=["k"], probe_on="d", fact_on="date", values=["idx"], strict=True, forward=True)
     one = placed.groupBy((F.col("idx") + 2).alias("idx")).agg(F.max_by("v", "d").alias("v"))
