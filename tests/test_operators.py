@@ -131,3 +131,69 @@ def test_lots_conserve_shares(spark):
     rows = [("a", "x", 1, 1, 10.0, 1.0), ("a", "x", 2, 1, 5.0, 2.0), ("a", "x", 3, 1, -12.0, 3.0), ("a", "x", 4, 1, -9.0, 4.0), ("b", "y", 1, 1, 4.0, 5.0)]
     got = sorted(tuple(r) for r in portfolio.fifo_lots(spark.createDataFrame(rows, "strategy string, ticker string, idx long, seq long, shares double, price double")).collect())
     assert got == [("a", "x", 1, 3, 10.0, 20.0), ("a", "x", 2, 3, 2.0, 2.0), ("a", "x", 2, 4, 3.0, 6.0), ("b", "y", 1, 1, 4.0, 0.0)]
+
+
+def test_ticker_rules(spark):
+    """The seven rules, in the order in which they are applied."""
+    cases = {
+        "NWIN(OB)": "NWIN", "?ABC?": "ABC", "GOOGLES": "GOOGLES", "GOOGLESS": None, "BRK.B123": "BRK.B123", "BRK.B1234": None, "NAN": None, "1ABC": None, "nyse: krc": "KRC", " aapl ": "AAPL", "A, B": "A",
+        "/ABC": "ABC", "--": None, "-": None, "(N/A)": None, "NONE": None, "A B": "A", "[ABC]": "ABC", "ABC;DEF": "ABC", "BF-B": "BF-B", "AB.": None, "NYSE:": None, "()": None,
+    }
+    rows = spark.createDataFrame(list(cases.items()), "raw string, want string").withColumn("got", T.normalize_ticker(F.col("raw")))
+    assert [tuple(r) for r in rows.filter(~F.col("got").eqNullSafe(F.col("want"))).collect()] == []
+
+
+def test_issuer_names(spark):
+    cases = [("Acme Holdings Corp", "ACME"), ("The Foo Group, L.L.C.", "FOO L L C"), ("Bar Incorporated - Old", "BAR"), ("Baz \\NY\\", "BAZ"), ("A /DE/ B", "A DE B"), (None, ""), ("Primo Water Corp /CN/", "PRIMO WATER")]
+    rows = spark.createDataFrame(cases, "raw string, want string").withColumn("got", T.normalize_name(F.col("raw")))
+    assert [tuple(r) for r in rows.filter(F.col("got") != F.col("want")).collect()] == []
+
+
+def test_clusters_count_rows_without_owner_as_nobody(spark):
+    """They begin and extend windows, and move the restart, but aren't buyers."""
+    rows = [("x", None, 0), ("x", 1, 5), ("x", 2, 10), ("x", None, 14), ("x", 1, 16), ("x", 3, 25), ("y", None, 0), ("y", 1, 1), ("z", 1, 0), ("z", 1, 3), ("z", 2, 17)]
+    frame = spark.createDataFrame([(i, o, day(d)) for i, o, d in rows] + [("x", 9, None)], "issuer string, owner long, tx_date date")
+    found = sorted((r["issuer"], r["first_date"], r["last_date"]) for r in clusters.detect_clusters(frame).collect())
+    assert found == [("x", day(0), day(14)), ("x", day(16), day(25)), ("z", day(3), day(17))]
+
+
+def test_clusters_against_the_plain_loop(spark):
+    random.seed(11)
+    rows = [(random.randrange(4), random.choice([None, 1, 2, 3, 4]), random.randrange(400)) for _ in range(260)]
+    want = []
+    for issuer in range(4):
+        txs = sorted(((d, o) for i, o, d in rows if i == issuer), key=lambda x: x[0])
+        i = 0
+        while i < len(txs):
+            j = i
+            while j + 1 < len(txs) and txs[j + 1][0] - txs[i][0] <= 14:
+                j += 1
+            if len({o for _, o in txs[i : j + 1] if o}) >= 3:
+                want.append((issuer, day(txs[i][0]), day(txs[j][0])))
+                i = j + 1
+            else:
+                i += 1
+    frame = spark.createDataFrame([(i, o, day(d)) for i, o, d in rows], "issuer long, owner long, tx_date date")
+    assert sorted(map(tuple, clusters.detect_clusters(frame, buyers=3).collect())) == sorted(want)
+
+
+def test_flags_by_hand(spark):
+    row = dict(issuer=1, owner_name="n", value=120_000.0, shares=10.0, price=12.0, pct=None, is_director=False, is_officer=False, is_ten=False, is_plan=False, note=None, first_trade=None, tx_date=day(0), filing_date=day(1))
+    rows = [
+        row | dict(owner=1, is_director=True, note="under the ESPP"), row | dict(owner=2, is_director=True, shares=1.5, filing_date=day(2)), row | dict(owner=2, shares=2.25, filing_date=day(30), value=0.0),
+        row | dict(issuer=2, owner=1, value=4000.0, price=100.0, is_ten=True, is_plan=True, first_trade=day(-179)), row | dict(issuer=2, owner=2, value=3000.0, price=100.3, is_officer=True, is_director=True, tx_date=day(5), pct=150.0, filing_date=day(20)),
+        row | dict(issuer=2, owner=None, owner_name="m", value=None, price=100.1, tx_date=day(9), filing_date=day(30)),
+    ]
+    schema = "issuer long, owner long, owner_name string, value double, shares double, price double, pct double, is_director boolean, is_officer boolean, is_ten boolean, is_plan boolean, note string, first_trade date, tx_date date, filing_date date"
+    found = {r["issuer"]: r for r in clusters.component_flags(spark.createDataFrame(rows, schema), ["issuer"]).collect()}
+    fired = {k: sorted(c[2:] for c in r.asDict() if c.startswith("f_") and r[c]) for k, r in found.items()}
+    assert fired[1] == sorted(["median_value_high", "identical_prices", "fractional_shares", "directors_only", "routine_footnote", "director_heavy", "filed_promptly"])
+    assert fired[2] == sorted(["median_value_low", "tight_price_band", "multi_date_spread", "ten_percent_owner", "plan_10b5_1", "big_stake_add", "huge_stake_add", "filed_late", "three_plus_insiders", "officer_and_director", "ten_pct_owner_multi"])
+    assert clusters.merged_weights({"weights": {"filed_late": "3", "nope": 1, "big_stake_add": "x"}}) == clusters.WEIGHTS | {"filed_late": 3}
+
+
+def test_range_join_keeps_probes_without_facts(spark):
+    probes = spark.createDataFrame([(1, day(0), 5), (1, day(0), 5), (1, day(9), 6), (None, day(0), 7)], "k long, d date, v long")
+    facts = spark.createDataFrame([(1, day(1), 1.0), (1, day(2), 2.0)], "k long, f date, w double")
+    found = range_join(probes, facts, by=["k"], probe_on="d", fact_on="f", before=0, after=3, how="left")
+    assert sorted(((r["k"], r["d"], r["v"], r["w"]) for r in found.collect()), key=repr) == sorted([(1, day(0), 5, 1.0), (1, day(0), 5, 1.0), (1, day(0), 5, 2.0), (1, day(0), 5, 2.0), (1, day(9), 6, None), (None, day(0), 7, None)], key=repr)

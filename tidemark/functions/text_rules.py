@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Corporate suffixes that name comparison ignores.
-SUFFIXES = "INC|CORP|CO|LTD|LLC|PLC"
+#: Corporate words that name comparison ignores.
+SUFFIXES = "INCORPORATED|INC|CORPORATION|CORP|COMPANY|CO|HOLDINGS|HOLDING|GROUP|LLC|LLP|LP|LTD|LIMITED|PLC|THE"
 
 #: Placeholders that are no ticker.
-NO_TICKER = ("", "NONE", "N/A", "NA", "NULL", "NOT APPLICABLE")
+NO_TICKER = ("--", "-", "N/A", "NA", "NONE", "NAN", "NULL")
+
+#: Characters that wrap a ticker, and the form of one.
+WRAPPING = r"[\s\"'(\[?\])]"
+TICKER_FORM = r"^[A-Z][A-Z0-9]{0,6}([.-][A-Z0-9]{1,4})?$"
+
+#: Words of a footnote that tell of a routine purchase.
+ROUTINE_NOTE = r"(?i)ESPP|Employee\s+Stock\s+Purchase|401\s*\(?\s*k\s*\)?|Dividend\s+Reinvest|\bDRIP\b|payroll\s+deduction|automatic\s+(purchase|investment|acquisition)"
 
 
 def normalize_ticker(raw: Column) -> Column:
-    """Trim, upper-case, strip wrappers, drop an exchange prefix and placeholders, take the first token, check the form."""
-    t = F.upper(F.trim(raw))
-    t = F.regexp_replace(t, r"^[\s\"'(\[{]+|[\s\"')\]}]+$", "")
-    t = F.regexp_replace(t, r"^[A-Z ]+:\s*", "")
-    first = F.regexp_extract(t, r"^([^\s,;/]+)", 1)
-    return F.when(~t.isin(*NO_TICKER) & F.regexp_like(first, F.lit(r"^[A-Z0-9]{1,6}([.\-][A-Z]{1,2})?$")), first)
+    """Upper-case, strip wrappers and an exchange prefix, drop placeholders, take the first token, check the form; null if unusable."""
+    t = F.regexp_replace(F.upper(raw), rf"^{WRAPPING}+|{WRAPPING}+$", "")
+    t = F.trim(F.regexp_replace(t, r"^[A-Z]+:\s*", ""))
+    first = F.regexp_extract(t, r"^[,;/\s(]*([^,;/\s(]+)", 1)
+    return F.when(~t.isin(*NO_TICKER) & F.regexp_like(first, F.lit(TICKER_FORM)), first)
 
 
 def normalize_cik(raw: Column) -> Column:
@@ -27,10 +33,11 @@ def normalize_cik(raw: Column) -> Column:
 
 
 def normalize_name(raw: Column) -> Column:
-    """Upper case without state tags, an OLD mark, punctuation and corporate suffixes."""
-    t = F.regexp_replace(F.upper(raw), r"/[A-Z]{2}/|-\s*OLD\b", " ")
+    """Upper case without a state tag or OLD mark at the end, punctuation and corporate words; null counts as empty."""
+    t = F.regexp_replace(F.upper(F.coalesce(raw, F.lit(""))), r"-\s*OLD\s*$", " ")
+    t = F.regexp_replace(t, r"[/\\]\s*[A-Z]{2,4}\s*[/\\]?\s*$", " ")
     t = F.regexp_replace(t, r"[^A-Z0-9 ]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, rf"\b({SUFFIXES})\b", " "), r" +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, rf"\b({SUFFIXES})\b", " "), r"\s+", " "))
 
 
 def role_string(director: Column, officer: Column, ten: Column) -> Column:

@@ -63,46 +63,78 @@ def a9_cluster_aggregates(spark, sf_dir):
     )
 
 
-_FLAG_SQL = """
-, per_owner AS (
-  SELECT issuer, first_date, count(*) AS n_insiders, bool_or(o) AS any_officer, bool_or(t) AS any_ten, bool_and(t) AS all_ten, count(*) FILTER (d AND NOT o AND NOT t) AS pure
-  FROM (SELECT issuer, first_date, owner, bool_or(is_director) AS d, bool_or(is_officer) AS o, bool_or(is_ten) AS t FROM cluster_rows GROUP BY ALL) GROUP BY ALL),
+#: The bound rows have whole shares and no notes: some get a quarter share, and each its order's status and priority as a note.
+_NOTED = """
+, first_bars AS (SELECT issuer, min(date) AS first_trade FROM bars GROUP BY issuer),
+noted AS (
+  SELECT c.* REPLACE (shares + CASE WHEN tx_id % 10 % 2 = 1 THEN 0.25 ELSE 0 END AS shares), CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN 'payroll  deduction' WHEN o_orderstatus = 'O' THEN 'open market' END AS note, first_trade
+  FROM cluster_rows c JOIN orders ON o_orderkey = tx_id // 10 LEFT JOIN first_bars USING (issuer))"""
+
+_FLAG_SQL = _NOTED + """
+, owned AS (SELECT issuer, first_date, owner, bool_or(is_director) AS d, bool_or(is_officer) AS o, bool_or(is_ten) AS t, bool_or(is_director AND NOT is_officer) AS pure, sum(value) AS v FROM noted GROUP BY ALL),
+per_owner AS (
+  SELECT issuer, first_date, count(*) AS n_insiders, bool_or(o) AS any_officer, bool_or(d) AS any_director, bool_or(t) AS any_ten, count(*) FILTER (pure) AS pure, sum(v) AS total_value, list_sort(list(v) FILTER (v <> 0)) AS vs
+  FROM owned GROUP BY ALL),
 measures AS (
-  SELECT issuer, first_date, count(*) AS n_tx, sum(value) AS total_value, list_sort(list(value) FILTER (value <> 0)) AS vs, count(DISTINCT round_even(price, 4)) AS n_unique, count(price) AS n_prices,
-         (max(price) - min(price)) / nullif(min(price), 0) AS spread, count(DISTINCT tx_date) AS n_dates, bool_or(is_plan) AS any_plan, avg(pct) AS mean_pct, max(pct) AS max_pct,
-         list_sort(list(filing_date - tx_date)) AS ds
-  FROM cluster_rows GROUP BY ALL),
+  SELECT issuer, first_date, count(*) AS n_tx, count(DISTINCT round_even(price, 4)) AS n_unique, count(price) AS n_prices, (max(price) - min(price)) / max(price) AS spread, count(DISTINCT tx_date) AS n_dates, max(tx_date) AS last_tx,
+         count(*) FILTER (abs(shares - round_even(shares, 0)) > 1e-4) AS fractional, bool_or(is_plan) AS any_plan, bool_or(regexp_matches(coalesce(note, ''), '(?i)ESPP|payroll\\s+deduction|401\\s*\\(?\\s*k')) AS any_note,
+         avg(pct) AS mean_pct, max(pct) AS max_pct, list_sort(list(filing_date - tx_date)) AS ds, min(first_trade) AS first_trade
+  FROM noted GROUP BY ALL),
 both_ AS (SELECT *, vs[len(vs) // 2 + 1] AS median_value, ds[len(ds) // 2 + 1] AS median_delay FROM measures JOIN per_owner USING (issuer, first_date)),
 flags AS (
   SELECT issuer, first_date, n_tx, n_insiders, median_value, median_delay, total_value,
-         median_value >= 100000 AS f_big_median, median_value <= 5000 AS f_small_median, n_prices >= 3 AND (n_unique = 1 OR spread < 0.005) AS f_one_price, n_dates >= 3 AS f_spread_dates,
-         n_dates = 1 AND n_tx >= 4 AS f_one_day_many, any_officer AS f_officer, all_ten AS f_ten_pct_only, any_plan AS f_plan, mean_pct >= 25 AS f_stake_25, max_pct >= 100 AS f_stake_100,
-         median_delay <= 2 AS f_fast_filing, median_delay >= 10 AS f_slow_filing, pure * 2 > n_insiders AS f_directors_only, n_insiders >= 3 AS f_three_insiders, n_insiders >= 5 AS f_five_insiders,
-         total_value >= 1000000 AS f_million, any_ten AND n_insiders >= 3 AS f_ten_with_three
+         median_value >= 100000 AS f_median_value_high, median_value <= 5000 AS f_median_value_low, n_prices >= 3 AND n_unique = 1 AS f_identical_prices, n_prices >= 3 AND n_unique > 1 AND spread < 0.005 AS f_tight_price_band,
+         n_dates >= 3 AS f_multi_date_spread, n_dates = 1 AND n_tx >= 4 AS f_single_day_burst, fractional >= greatest(2, n_tx // 2) AS f_fractional_shares, any_ten AS f_ten_percent_owner,
+         any_director AND NOT any_officer AS f_directors_only, any_note AS f_routine_footnote, any_plan AS f_plan_10b5_1, last_tx - first_trade BETWEEN 0 AND 179 AS f_recent_ipo, mean_pct >= 25 AS f_big_stake_add,
+         median_delay <= 2 AS f_filed_promptly, median_delay >= 10 AS f_filed_late, n_insiders >= 2 AND pure * 2 > n_insiders AS f_director_heavy, n_insiders >= 3 AS f_three_plus_insiders, n_insiders >= 5 AS f_five_plus_insiders,
+         total_value >= 1000000 AS f_large_total_value, any_officer AND any_director AS f_officer_and_director, max_pct >= 100 AS f_huge_stake_add, any_ten AND n_insiders >= 3 AS f_ten_pct_owner_multi
   FROM both_)"""
 
 
+def noted_rows(spark, sf_dir, rows):
+    """Rows with a quarter share on some, a note and the issuer's first trading day."""
+    orders = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_order"), "o_orderpriority", "o_orderstatus")
+    first = B.bars(spark, sf_dir).groupBy("issuer").agg(F.min("date").alias("first_trade"))
+    note = F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P"), "payroll  deduction").when(F.col("o_orderstatus") == "O", "open market")
+    quarter = F.when(F.col("tx_id") % 10 % 2 == 1, 0.25).otherwise(0.0)
+    joined = rows.withColumn("shares", F.col("shares") + quarter).join(orders, F.floor(F.col("tx_id") / 10) == F.col("_order")).join(first, "issuer", "left")
+    return joined.withColumn("note", note).drop("_order", "o_orderpriority", "o_orderstatus")
+
+
 def _flags(spark, sf_dir):
     rows = B.buys(spark, sf_dir)
-    return C.component_flags(C.cluster_rows(C.detect_clusters(rows), rows), ["issuer", "first_date"])
+    return C.component_flags(noted_rows(spark, sf_dir, C.cluster_rows(C.detect_clusters(rows), rows)), ["issuer", "first_date"])
 
 
 _FLAG_COLUMNS = [f"f_{k}" for k in C.WEIGHTS]
 
 
-@query("e3_component_flags", B.sql(_clusters(2) + _ROWS + _FLAG_SQL + f" SELECT issuer, first_date, n_tx, n_insiders, CAST(median_delay AS INTEGER) AS median_delay, round(median_value, 4) AS median_value, {', '.join(_FLAG_COLUMNS)} FROM flags"))
+@query("e3_component_flags", B.sql(_clusters(2) + _ROWS + _FLAG_SQL + f" SELECT issuer, first_date, n_tx, n_insiders, CAST(median_delay AS INTEGER) AS median_delay, round(median_value, 2) AS median_value, {', '.join(_FLAG_COLUMNS)} FROM flags"))
 def e3_component_flags(spark, sf_dir):
-    return _flags(spark, sf_dir).select("issuer", "first_date", "n_tx", "n_insiders", "median_delay", F.round("median_value", 4).alias("median_value"), *_FLAG_COLUMNS)
+    """All 22 flags of a cluster."""
+    return _flags(spark, sf_dir).select("issuer", "first_date", "n_tx", "n_insiders", "median_delay", F.round("median_value", 2).alias("median_value"), *_FLAG_COLUMNS)
 
 
-_SCORE_SQL = " + ".join(f"CASE WHEN f_{k} THEN {v} ELSE 0 END" for k, v in C.WEIGHTS.items())
+#: Fixed values, as in ``operators/clusters.py``, written out for the oracle.
+_POINTS = {
+    "median_value_high": 3, "median_value_low": -2, "identical_prices": -3, "tight_price_band": -2, "multi_date_spread": 1, "single_day_burst": -2, "fractional_shares": -2, "ten_percent_owner": 3, "directors_only": 2,
+    "routine_footnote": -5, "plan_10b5_1": -1, "recent_ipo": -3, "big_stake_add": 2, "filed_promptly": 1, "filed_late": -1, "director_heavy": 2,
+}
+_SCORE_SQL = " + ".join(f"CASE WHEN f_{k} THEN {v} ELSE 0 END" for k, v in _POINTS.items())
 
 
 @query("e4_weighted_score", B.sql(_clusters(2) + _ROWS + _FLAG_SQL + f" SELECT issuer, first_date, CAST({_SCORE_SQL} AS INTEGER) AS score, CASE WHEN {_SCORE_SQL} >= 3 THEN 'conviction' WHEN {_SCORE_SQL} <= -3 THEN 'routine' ELSE 'mixed' END AS label FROM flags"))
 def e4_weighted_score(spark, sf_dir):
     """Also P16, the label at +-3."""
     scored = _flags(spark, sf_dir).select("issuer", "first_date", C.weighted_score().alias("score"))
-    return scored.withColumn("label", F.when(F.col("score") >= 3, "conviction").when(F.col("score") <= -3, "routine").otherwise("mixed"))
+    return scored.withColumn("label", C.score_label(F.col("score")))
+
+
+@query("e4_merged_weights", B.sql(_clusters(2) + _ROWS + _FLAG_SQL + f" SELECT issuer, first_date, CAST({_SCORE_SQL} + CASE WHEN f_large_total_value THEN 4 ELSE 0 END - CASE WHEN f_filed_late THEN 6 ELSE 0 END AS INTEGER) AS score FROM flags"))
+def e4_merged_weights(spark, sf_dir):
+    """SRC19: a payload's weights over the defaults; unknown names and non-integers are ignored."""
+    payload = {"version": 1, "weights": {"large_total_value": 4, "filed_late": "-7", "no_such_flag": 9, "filed_promptly": "many"}}
+    return _flags(spark, sf_dir).select("issuer", "first_date", C.weighted_score(payload).alias("score"))
 
 
 _STATE = """

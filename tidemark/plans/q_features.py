@@ -68,15 +68,16 @@ def d14_short_interest(spark, sf_dir):
 
 
 @query("w24_prior_return", B.sql(EPISODES_SQL + """
-, r AS (SELECT e.issuer, e.event_day, e.idx, c.date AS closed, b.close AS c0 FROM episodes e LEFT JOIN calendar c ON c.idx = e.idx + 63 LEFT JOIN bars b ON b.issuer = e.issuer AND b.date = e.event_day)
-SELECT a.issuer, a.event_day, count(p.event_day) AS n_prior, round(avg(p.c0), 6) AS mean_prior FROM r a LEFT JOIN r p ON p.issuer = a.issuer AND p.event_day < a.event_day AND p.closed < a.event_day GROUP BY ALL"""))
+, r AS (SELECT e.issuer, e.event_day, e.idx, c.date AS closed, x.close / b.close - 1 AS ret FROM episodes e LEFT JOIN calendar c ON c.idx = e.idx + 63 LEFT JOIN bars b ON b.issuer = e.issuer AND b.date = e.event_day LEFT JOIN bars x ON x.issuer = e.issuer AND x.date = c.date)
+SELECT a.issuer, a.event_day, count(p.event_day) AS n_prior, round(avg(p.ret), 6) AS mean_prior FROM r a LEFT JOIN r p ON p.issuer = a.issuer AND p.event_day < a.event_day AND p.closed < a.event_day GROUP BY ALL"""))
 def w24_prior_return(spark, sf_dir):
-    """Mean over earlier episodes whose label window is closed: running sums looked up as of the closing day, no pairs."""
-    bars = B.bars(spark, sf_dir).select("issuer", F.col("date").alias("event_day"), F.col("close").alias("c0"))
+    """Mean return of earlier episodes whose 63-day window is closed: running sums looked up as of the closing day, no pairs."""
+    bars = B.bars(spark, sf_dir).select("issuer", "date", "close")
+    opening, closing = bars.select("issuer", F.col("date").alias("event_day"), F.col("close").alias("c0")), bars.select("issuer", F.col("date").alias("closed"), F.col("close").alias("c1"))
     days = B.calendar(spark, sf_dir).select((F.col("idx") - 63).alias("idx"), F.col("date").alias("closed"))
-    rows = episode_rows(spark, sf_dir).join(F.broadcast(days), "idx", "left").join(bars, ["issuer", "event_day"], "left")
+    rows = episode_rows(spark, sf_dir).join(F.broadcast(days), "idx", "left").join(opening, ["issuer", "event_day"], "left").join(closing, ["issuer", "closed"], "left").withColumn("ret", F.try_divide("c1", "c0") - 1)
     past = Window.partitionBy("issuer").orderBy("closed").rangeBetween(Window.unboundedPreceding, 0)
-    sums = rows.filter("closed IS NOT NULL").select("issuer", "closed", F.count("*").over(past).alias("n_prior"), F.sum("c0").over(past).alias("s"), F.count("c0").over(past).alias("k")).dropDuplicates(["issuer", "closed"])
+    sums = rows.filter("closed IS NOT NULL").select("issuer", "closed", F.count("*").over(past).alias("n_prior"), F.sum("ret").over(past).alias("s"), F.count("ret").over(past).alias("k")).dropDuplicates(["issuer", "closed"])
     found = asof_backward(rows.select("issuer", "event_day"), sums, by=["issuer"], probe_on="event_day", fact_on="closed", values=["n_prior", "s", "k"], strict=True)
     return found.select("issuer", "event_day", F.coalesce("n_prior", F.lit(0)).alias("n_prior"), F.round(F.try_divide("s", "k"), 6).alias("mean_prior"))
 

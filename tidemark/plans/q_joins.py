@@ -136,13 +136,15 @@ def j18_snap(spark, sf_dir):
     return asof_backward(probes, days, by=["k"], probe_on="filing_date", fact_on="date", values=["idx"], forward=True).select("filing_date", F.col("asof_date").alias("snapped"))
 
 
-@query("j19_aligned_returns", B.sql(", r AS (SELECT issuer, date, close / lag(close) OVER (PARTITION BY issuer ORDER BY date) - 1 AS ret FROM bars) SELECT a.date, round(a.ret, 6) AS a, round(b.ret, 6) AS b FROM r a JOIN r b ON a.date = b.date WHERE a.issuer = 1 AND b.issuer = 2 AND a.ret IS NOT NULL AND b.ret IS NOT NULL"))
+@query("j19_aligned_returns", B.sql(", r AS (SELECT issuer, date, close / lag(close) OVER (PARTITION BY issuer ORDER BY date) - 1 AS ret FROM bars), m AS (SELECT date, level / lag(level) OVER (ORDER BY date) - 1 AS bench FROM benchmark) SELECT issuer, date, round(ret, 6) AS ret, round(bench, 6) AS bench FROM r JOIN m USING (date) WHERE ret IS NOT NULL AND bench IS NOT NULL"))
 def j19_aligned_returns(spark, sf_dir):
+    """Every issuer's returns with the market's on the dates that both have."""
     from ..operators.windows import with_returns
 
-    rets = with_returns(B.bars(spark, sf_dir)).filter("ret IS NOT NULL")
-    one = lambda k, n: rets.filter(F.col("issuer") == k).select("date", F.round("ret", 6).alias(n))
-    return one(1, "a").join(one(2, "b"), "date")
+    rets = with_returns(B.bars(spark, sf_dir)).filter("ret IS NOT NULL").select("issuer", "date", F.round("ret", 6).alias("ret"))
+    before = F.lag("level").over(Window.orderBy("date"))  # one row a trading day
+    bench = B.benchmark(spark, sf_dir).select("date", F.round(F.col("level") / before - 1, 6).alias("bench")).filter("bench IS NOT NULL")
+    return rets.join(F.broadcast(bench), "date")
 
 
 @query("j20_axis_offset", B.sql(", c AS (SELECT date, idx, CAST(date_diff('day', DATE '1995-01-01', date) AS BIGINT) AS axis FROM calendar), o AS (SELECT axis - idx AS shift, count(*) AS n FROM c GROUP BY ALL) SELECT shift, n, n >= 0.99 * (SELECT count(*) FROM c) AS agrees FROM o ORDER BY n DESC, shift LIMIT 1"))
@@ -166,32 +168,38 @@ def j21_variable_hold(spark, sf_dir):
 
 
 @query("j22_lag_to_calendar", B.sql("""
-, obs AS (SELECT CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-02' AND o_custkey % 50 = 0 GROUP BY ALL),
+, obs AS (SELECT CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-02' GROUP BY ALL),
 placed AS (SELECT d, v, (SELECT min(idx) FROM calendar c WHERE c.date > d) + 2 AS idx FROM obs),
 one AS (SELECT idx, arg_max(v, d) AS v FROM placed GROUP BY idx)
 SELECT c.date, round(last_value(v IGNORE NULLS) OVER (ORDER BY c.idx), 4) AS value FROM calendar c LEFT JOIN one USING (idx)"""))
 def j22_lag_to_calendar(spark, sf_dir):
-    """Observations of one customer in fifty, with gaps; j22_lag_all_observations has all."""
-    return _lagged(spark, sf_dir, B.table(spark, sf_dir, "orders").filter("o_custkey % 50 = 0"))
+    return _lagged(spark, sf_dir, B.table(spark, sf_dir, "orders"))
 
 
-@query("j22_lag_all_observations", B.sql("""
-, obs AS (SELECT CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-02' GROUP BY ALL),
+@query("j22_monthly_observations", B.sql("""
+, obs AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS d, count(*) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-02' GROUP BY ALL),
 placed AS (SELECT d, v, (SELECT min(idx) FROM calendar c WHERE c.date > d) + 2 AS idx FROM obs),
 one AS (SELECT idx, arg_max(v, d) AS v FROM placed GROUP BY idx)
-SELECT c.date, round(last_value(v IGNORE NULLS) OVER (ORDER BY c.idx), 4) AS value FROM calendar c LEFT JOIN one USING (idx)"""))
-def j22_lag_all_observations(spark, sf_dir):
-    return _lagged(spark, sf_dir, B.table(spark, sf_dir, "orders"))
+SELECT c.date, last_value(v IGNORE NULLS) OVER (ORDER BY c.idx) AS value FROM calendar c LEFT JOIN one USING (idx)"""))
+def j22_monthly_observations(spark, sf_dir):
+    """A monthly series, so that most days are filled forward."""
+    obs = B.table(spark, sf_dir, "orders").filter("o_orderdate >= '1995-01-02'").groupBy(F.last_day("o_orderdate").alias("d")).agg(F.count("*").alias("v"))
+    return _placed(spark, sf_dir, obs)
 
 
 def _lagged(spark, sf_dir, orders):
-    """First trading day after the observation, plus lag - 1; the last observation of a day wins; filled forward."""
-    obs = orders.filter("o_orderdate >= '1995-01-02'").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.max("o_totalprice").alias("v")).withColumn("k", F.lit(1))
+    obs = orders.filter("o_orderdate >= '1995-01-02'").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.max("o_totalprice").alias("v"))
+    return _placed(spark, sf_dir, obs).withColumn("value", F.round("value", 4))
+
+
+def _placed(spark, sf_dir, obs):
+    """First trading day after the observation (d, v), plus lag - 1; the last observation of a day wins; filled forward."""
+    obs = obs.withColumn("k", F.lit(1))
     days = B.calendar(spark, sf_dir)
     placed = asof_backward(obs, days.withColumn("k", F.lit(1)), by=["k"], probe_on="d", fact_on="date", values=["idx"], strict=True, forward=True)
     one = placed.groupBy((F.col("idx") + 2).alias("idx")).agg(F.max_by("v", "d").alias("v"))
     filled = F.last("v", ignorenulls=True).over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    return days.join(one, "idx", "left").select("date", F.round(filled, 4).alias("value"))
+    return days.join(one, "idx", "left").select("date", filled.alias("value"))
 
 
 @query("j23_tag_dictionary", "SELECT p_partkey AS part, g.grp, g.rank FROM part JOIN (VALUES ('PROMO', 'sales', 1), ('ECONOMY', 'cost', 2), ('STANDARD', 'cost', 1)) g(tag, grp, rank) ON split_part(p_type, ' ', 1) = g.tag")

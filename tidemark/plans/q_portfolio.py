@@ -12,7 +12,7 @@ from .registry import query
 
 _TRADES = """
 , nb AS (SELECT *, row_number() OVER (PARTITION BY issuer ORDER BY date) - 1 AS pos FROM bars),
-trades AS (SELECT issuer * 10000 + pos AS trade_id, issuer, pos AS entry_pos, open AS entry_open, dollar_volume AS score, date FROM nb WHERE pos % 10 = 0),
+trades AS (SELECT issuer * 10000 + pos AS trade_id, issuer, pos AS entry_pos, open AS entry_open, dollar_volume AS score, date FROM nb),
 path AS (SELECT t.trade_id, t.entry_open, n.pos - t.entry_pos AS day, n.open, n.low, n.close FROM trades t JOIN nb n ON n.issuer = t.issuer AND n.pos BETWEEN t.entry_pos AND t.entry_pos + 21)"""
 
 _EXITS = _TRADES + """
@@ -29,7 +29,7 @@ _STOPS = _EXITS.format(hard=0.5, trail=0.6)
 
 def _trades(spark, sf_dir):
     bars = E.numbered_bars(B.bars(spark, sf_dir))
-    trades = bars.filter("pos % 10 = 0").select((F.col("issuer") * 10_000 + F.col("pos")).alias("trade_id"), "issuer", F.col("pos").alias("entry_pos"), F.col("open").alias("entry_open"), F.col("dollar_volume").alias("score"), "date")
+    trades = bars.select((F.col("issuer") * 10_000 + F.col("pos")).alias("trade_id"), "issuer", F.col("pos").alias("entry_pos"), F.col("open").alias("entry_open"), F.col("dollar_volume").alias("score"), "date")
     return trades, bars
 
 

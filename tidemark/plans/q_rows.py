@@ -26,6 +26,18 @@ def p04_p05_clean_events(spark, sf_dir):
     return rows.select("tx_id", T.normalize_ticker(F.concat(F.lit("(nyse:s"), F.col("issuer").cast("string"), F.lit(")"))).alias("ticker"), "tx_date", "filing_date")
 
 
+#: Raw forms of a ticker as filings have them; {} is the issuer's number.
+_FORMS = ["(nyse:s{})", "NASDAQ: s{} ", "s{}(OB)", "?S{}?", "s{}, t{}", "BRK.B{}", "{}S", "NAN", "n/a", "--", "", "[S{}-WS]", "S{}TOOLONG", " 'S{}' / x", "(;s{}"]
+
+
+@query("p06_ticker_rules", "SELECT s_suppkey AS issuer, form, CASE form " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(["'S' || n", "'S' || n", "'S' || n", "'S' || n", "'S' || n", "'BRK.B' || n", "NULL", "NULL", "NULL", "NULL", "NULL", "'S' || n || '-WS'", "NULL", "NULL", "'S' || n"])) + " END AS ticker FROM (SELECT s_suppkey, CAST(s_suppkey % 1000 AS VARCHAR) AS n FROM supplier), (SELECT unnest(generate_series(0, 14)) AS form)")
+def p06_ticker_rules(spark, sf_dir):
+    """All seven rules: wrappers, exchange prefix, placeholders, first token, form."""
+    forms = F.posexplode(F.array(*[F.lit(f) for f in _FORMS]))
+    rows = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("issuer"), (F.col("s_suppkey") % 1000).cast("string").alias("n"), forms.alias("form", "raw"))
+    return rows.select("issuer", F.col("form").cast("bigint").alias("form"), T.normalize_ticker(F.replace("raw", F.lit("{}"), F.col("n"))).alias("ticker"))
+
+
 @query("p07_cik", "SELECT c_custkey AS owner, lpad(regexp_replace(c_name, '[^0-9]', '', 'g'), 10, '0') AS cik FROM customer")
 def p07_cik(spark, sf_dir):
     return B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), T.normalize_cik(F.col("c_name")).alias("cik"))
@@ -100,9 +112,14 @@ def f02_log_excess(spark, sf_dir):
     return B.bars(spark, sf_dir).select("issuer", "date", ahead(21).alias("f"), ahead(5).alias("s")).select("issuer", "date", F.round(log_excess(F.col("f"), F.col("s")), 6).alias("excess")).filter("excess IS NOT NULL")
 
 
-@query("e06_issuer_names", "SELECT s_suppkey AS issuer, trim(regexp_replace(regexp_replace(regexp_replace(upper(s_name || ' Corp /DE/'), '/[A-Z]{2}/', ' ', 'g'), '[^A-Z0-9 ]', ' ', 'g'), '\\b(INC|CORP|CO|LTD|LLC|PLC)\\b', ' ', 'g')) AS name FROM supplier")
+_ENDINGS = ["Corp /DE/", "HOLDINGS INC", "Group, L.P. - Old", "The Company Limited \\DE\\", "& Co. /NEW/", "plc /A/ x"]
+
+
+@query("e06_issuer_names", "SELECT s_suppkey AS issuer, k, CASE k WHEN 2 THEN name || ' L P' WHEN 5 THEN name || ' A X' ELSE name END AS name FROM (SELECT s_suppkey, trim(regexp_replace(upper(s_name), '[^A-Z0-9]+', ' ', 'g')) AS name FROM supplier), (SELECT unnest(generate_series(0, 5)) AS k)")
 def e06_issuer_names(spark, sf_dir):
-    return B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("issuer"), T.normalize_name(F.concat("s_name", F.lit(" Corp /DE/"))).alias("name"))
+    """Also F7: state tags and OLD only at the end, all corporate words."""
+    rows = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("issuer"), "s_name", F.posexplode(F.array(*[F.lit(e) for e in _ENDINGS])).alias("k", "ending"))
+    return rows.select("issuer", F.col("k").cast("bigint").alias("k"), T.normalize_name(F.concat_ws(" ", "s_name", "ending")).alias("name"))
 
 
 @query("e08_spans", B.sql("SELECT issuer, arg_min(owner_name, tx_id) AS name, min(filing_date) AS first_date, max(filing_date) AS last_date, count(*) AS n FROM filings GROUP BY issuer"))

@@ -1,12 +1,11 @@
-"""Streaming queries: the events table as a stream, drained with availableNow into a table in memory."""
+"""Streaming queries: the events table as a stream, drained with availableNow into Parquet."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 from ..streaming import windows as W
 from . import binding as B
 from .registry import query
@@ -18,12 +17,17 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drain(result: DataFrame, mode: str) -> DataFrame:
-    """Run a streaming result to its end; the sink is a memory table, meant for small results."""
+    """Run a streaming result to its end, into Parquet in the shared folder: appended, or the last batch's complete result."""
     spark = result.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    running = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    path = scratch(spark, "stream")
+
+    def put(batch: DataFrame, number: int) -> None:
+        target = f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}"
+        batch.write.mode("overwrite").parquet(target)  # a batch that is run again replaces itself
+
+    running = result.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
 
 
 @query("x02_sliding_state", "SELECT d AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, unnest(generate_series(date_trunc('day', ts) - INTERVAL 13 DAY, date_trunc('day', ts), INTERVAL 1 DAY))::DATE AS d FROM events) GROUP BY ALL")

@@ -191,7 +191,7 @@ def e09_split_classes(spark, sf_dir):
 
 @query("e10_back_adjusted", B.sql("""
 , s AS (SELECT issuer, date, close, volume, CASE WHEN close / lag(close) OVER (PARTITION BY issuer ORDER BY date) >= 10 THEN 10.0 ELSE 1.0 END AS factor FROM bars),
-a AS (SELECT *, exp(coalesce(sum(ln(factor)) OVER (PARTITION BY issuer ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS f FROM s WHERE issuer <= 1000000000)
+a AS (SELECT *, exp(coalesce(sum(ln(factor)) OVER (PARTITION BY issuer ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS f FROM s)
 SELECT issuer, date, round(ln(close * f), 6) AS ln_close, round(ln(volume / f), 6) AS ln_volume FROM a"""))
 def e10_back_adjusted(spark, sf_dir):
     bars = B.bars(spark, sf_dir)
@@ -240,16 +240,18 @@ def w30_expected_filing(spark, sf_dir):
 
 
 @query("w31_downsample", B.sql("""
-, n AS (SELECT date, level, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS total FROM benchmark),
+, whole AS (SELECT CAST(l_shipdate AS DATE) AS date, round(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE), 6) AS level FROM lineitem GROUP BY ALL),
+n AS (SELECT date, level, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS total FROM whole),
 b AS (SELECT *, i // CAST(ceil(total / 200.0) AS BIGINT) AS bucket FROM n),
 k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY level, date) AS by_low, i % CAST(ceil(total / 200.0) AS BIGINT) = 0 AS on_stride FROM b)
-SELECT date, round(level, 4) AS level, on_stride OR i = total - 1 AS uniform, by_low = 1 OR i = total - 1 AS keeps_minimum FROM k WHERE on_stride OR i = total - 1 OR by_low = 1"""))
+SELECT date, level, on_stride OR i = total - 1 AS uniform, by_low = 1 OR i = total - 1 AS keeps_minimum FROM k WHERE on_stride OR i = total - 1 OR by_low = 1"""))
 def w31_downsample(spark, sf_dir):
     """A stride of ceil(n / 200), the last point kept; beside it each bucket's minimum."""
+    level = F.round(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).cast("double") / F.sum(F.col("l_quantity").cast("bigint")).cast("double"), 6).alias("level")  # in whole cents: any order of rows gives this sum
     w = Window.orderBy("date")  # one row a trading day
-    rows = B.benchmark(spark, sf_dir).select("date", "level", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("total"))
+    rows = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(level).select("date", "level", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("total"))
     step = F.ceil(F.col("total") / 200)
     rows = rows.withColumn("bucket", F.floor(F.col("i") / step)).withColumn("low", F.row_number().over(Window.partitionBy("bucket").orderBy("level", "date")) == 1)
     last = F.col("i") == F.col("total") - 1
     on = F.col("i") % step == 0
-    return rows.filter(on | last | F.col("low")).select("date", F.round("level", 4).alias("level"), (on | last).alias("uniform"), (F.col("low") | last).alias("keeps_minimum"))
+    return rows.filter(on | last | F.col("low")).select("date", "level", (on | last).alias("uniform"), (F.col("low") | last).alias("keeps_minimum"))

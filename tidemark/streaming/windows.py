@@ -19,10 +19,10 @@ def with_event_time(rows: DataFrame, column: str, delay: str) -> DataFrame:
     return rows.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def sliding_state(rows: DataFrame, *, column: str = "ts", key: str = "user_id", width: str = "14 days", step: str = "1 day", delay: str = "13 days") -> DataFrame:
-    """Counts, totals and approximate distinct owners of each sliding window and key."""
+def sliding_state(rows: DataFrame, *, column: str = "ts", width: str = "14 days", step: str = "1 day", delay: str = "13 days") -> DataFrame:
+    """Counts and totals of each sliding window and type."""
     timed = with_event_time(rows, column, delay)
-    return timed.groupBy(F.window(column, width, step), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.approx_count_distinct(key).alias("owners"))
+    return timed.groupBy(F.window(column, width, step), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def tumbling_periods(rows: DataFrame, *, column: str = "ts", width: str = "21 days", delay: str = "13 days") -> DataFrame:
