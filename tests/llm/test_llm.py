@@ -102,6 +102,55 @@ def test_ngram_join(spark, shingle, percent):
     assert sorted(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == components(rows, shingle, percent)
 
 
+@pytest.mark.parametrize(("shingle", "percent"), [(3, 90), (5, 80)])
+def test_ngram_join_supersets_and_insertions(spark, shingle, percent):
+    random.seed(8)
+    rows = []
+    for n in range(4, 22):  # sets of few shingles: nothing may be lacking, yet a superset links
+        base = [f"w{n}x{k}" for k in range(n)]
+        rows += [base, [*base, "more"], ["first", *base], [*base, "more", "words"], base[1:]]
+    for size in (60, 150):
+        base = [f"b{random.randrange(400)}" for _ in range(size)]
+        for _ in range(45):
+            b = list(base)
+            for _ in range(random.randrange(1, 9)):
+                at = random.randrange(len(b))
+                b[at : at + random.choice([0, 1, 1])] = random.choice([[], ["new"], [f"n{random.randrange(50)}"]])
+            rows.append(b)
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    random.shuffle(rows)
+    found = ngramjoin.with_components(frame(spark, rows), shingle=shingle, percent=percent)
+    assert sorted(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == components(rows, shingle, percent)
+
+
+def test_ngram_join_family_of_families(spark):
+    """A variant of a text has many copies itself, and another text shares nothing but a passage."""
+    random.seed(9)
+    base = [f"b{k}" for k in range(120)]
+    variant = [f"v{k}" if k % 9 == 4 else w for k, w in enumerate(base)]
+    rows = []
+    for of in (base, variant, [*base[:30], *(f"o{k}" for k in range(90))]):
+        for _ in range(50):
+            b = list(of)
+            for _ in range(random.randrange(6)):
+                b[random.randrange(len(b))] = f"n{random.randrange(10**6)}"
+            rows.append(b)
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    found = ngramjoin.with_components(frame(spark, rows), shingle=3, percent=80)
+    assert sorted(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == components(rows, 3, 80)
+
+
+def test_ngram_join_edge_tables(spark):
+    assert ngramjoin.with_components(frame(spark, [])).collect() == []
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, long, 5, 6), (2, long + " end", 5, 6), (2, long + " end", 5, 6), (None, long, 5, 6), (3, None, 5, 6)]
+    docs = frame(spark, rows, "doc_id long, text string, node long, N_Shingles long")
+    found = ngramjoin.with_components(docs.select("doc_id", "text"))
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in found.collect()) == [("1", 1), ("2", 1), ("2", 1), ("3", 3), ("None", 1)]
+    assert ngramjoin.classified(docs).columns == ["doc_id", "n_shingles", "node"]
+    assert sorted(map(tuple, ngramjoin.one_of_each(docs).select("doc_id", "node", "N_Shingles").collect())) == [(1, 5, 6), (3, 5, 6)]
+
+
 def test_one_of_each(spark):
     rows = copies(60)[:-1]  # the last row repeats a doc_id in another component
     kept = sorted(r["doc_id"] for r in ngramjoin.one_of_each(frame(spark, [(*r, "s") for r in rows], "doc_id long, text string, node string")).collect())
