@@ -38,10 +38,10 @@ def _exits(spark, sf_dir):
     return E.simulate_exits(E.paths(trades.select("trade_id", "issuer", "entry_pos", "entry_open"), bars, 21), hard=0.5, trail=0.6)
 
 
-@query("b07_exit_rules", B.sql(_STOPS + " SELECT trade_id, exit_day, round(exit_price, 6) AS exit_price, reason, round(ret, 6) AS ret FROM exits"))
+@query("b07_exit_rules", B.sql(_STOPS + " SELECT trade_id, exit_day, round(exit_price, 8) AS exit_price, reason, round(ret, 6) AS ret FROM exits"))
 def b07_exit_rules(spark, sf_dir):
     """Also B21 and W18, W19: peak before the row, first breach."""
-    return _exits(spark, sf_dir).withColumn("exit_price", F.round("exit_price", 6)).withColumn("ret", F.round("ret", 6))
+    return _exits(spark, sf_dir).withColumn("exit_price", F.round("exit_price", 8)).withColumn("ret", F.round("ret", 6))
 
 
 @query("a19_exit_reasons", B.sql(_STOPS + " SELECT reason, count(*) AS n, round(avg(ret), 6) AS mean, round(median(ret), 6) AS mid, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS win FROM exits GROUP BY reason"))
