@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,15 +343,93 @@ def test_toxicity_counts_all_labels(spark):
     rows = [(i, f"the {'vile' if i % 2 else 'mild'}{i % 40} thing here number {i % 7}") for i in range(800)]
     docs = frame(spark, rows)
     labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
-    whole = toxicity.train(docs, labels, min_count=1).counts
-    few = toxicity.train(docs, labels, min_count=1, max_labels=60).counts  # bounds what calibrates, not what is counted
+    whole = toxicity.train(docs, labels).counts
+    few = toxicity.train(docs, labels, max_labels=60).counts  # bounds what calibrates, not what is counted
     assert whole.words.tolist() == few.words.tolist() and whole.stems.tolist() == few.stems.tolist() and len(whole.words) > 40
 
 
+def plain_kneser_ney(rows, discount):
+    """P(word | history) of both classes, by the formulas of the module's docstring."""
+    words = lambda t: WORD.findall(lower(t))
+    stem = lambda w: w.encode()[:4]
+    shared = collections.Counter(w for _, t in rows for w in words(t))
+    shared_stem = collections.Counter()
+    for w, n in shared.items():
+        shared_stem[stem(w)] += n
+    pairs = [collections.Counter(), collections.Counter()]
+    for label, t in rows:
+        if label in (0, 1):
+            w = words(t)
+            pairs[label].update(zip(["<s>", *w], w, strict=False))
+    kept = {p for p in pairs[0] | pairs[1] if pairs[1][p] or pairs[0][p] > 1}
+    types = [collections.Counter(w for _, w in c) for c in pairs]
+    stem_types = [collections.Counter() for _ in pairs]
+    for c in (0, 1):
+        for w, n in types[c].items():
+            stem_types[c][stem(w)] += n
+    known_stems, known = set(stem_types[0]) | set(stem_types[1]), set(types[0]) | set(types[1])
+    total = [sum(t.values()) for t in types]
+    head = [collections.Counter() for _ in pairs]
+    for c in (0, 1):
+        for (h, _), n in pairs[c].items():
+            head[c][h] += n
+    cut = lambda n: max(n - discount, 0)
+
+    def p_stem(c, s):
+        left = 1 - sum(cut(n) for n in stem_types[c].values()) / total[c]
+        return cut(stem_types[c][s]) / total[c] + left * (shared_stem[s] + 1) / (sum(shared.values()) + len(shared_stem))
+
+    def p_word(c, w):
+        left = 1 - sum(cut(n) for n in types[c].values()) / total[c]
+        return cut(types[c][w]) / total[c] + left * p_stem(c, stem(w)) * shared[w] / shared_stem[stem(w)]
+
+    def ratio(h, w):
+        if w not in known:
+            return np.log(p_stem(1, stem(w)) / p_stem(0, stem(w))) if stem(w) in known_stems else 0.0
+        p = []
+        for c in (0, 1):
+            mass = {x: cut(pairs[c][(h, x)]) / max(head[c][h], 1) for g, x in kept if g == h}
+            back = max(1 - sum(mass.values()), 1e-3) if h == "<s>" or h in known else 1.0
+            p.append(mass.get(w, 0.0) + back * p_word(c, w))
+        return np.log(p[1] / p[0])
+
+    return lambda t: [ratio(h, w) for h, w in zip(["<s>", *words(t)], words(t), strict=False)]
+
+
+def test_toxicity_probabilities(spark):
+    random.seed(21)
+    vocabulary = [["the", "mild", "milder", "thing", "thin", "é", "ok"], ["the", "vile", "viler", "thing", "thinks", "milder"]]
+    rows = [(k % 2, " ".join(random.choice(vocabulary[k % 2]) for _ in range(random.randrange(12)))) for k in range(60)]
+    rows += [(2, "thinly vilest OK mild é"), (2, None), (1, ""), (None, "the the"), (0, "the mild thing the mild thing")]
+    counted = toxicity.fit_counts(frame(spark, rows, "label int, text string").na.fill({"label": 2}), discounts=(0.75, 2.0), stretch=3)
+    texts = ["the vile thing", "mild thin é vilest thinly", "Viler the the MILDER", "unknown zebra", "", None, "thing"]
+    found = counted.evidence(pa.array(texts))
+    for k, discount in enumerate((0.75, 2.0)):
+        plain = plain_kneser_ney([(c, t) for c, t in rows], discount)
+        for t, got in zip(texts, found, strict=True):
+            want = plain(t) or [0.0]
+            assert abs(got[2 * k] - np.mean(want)) < 1e-9
+            sums = [sum(want[i : i + 3]) / 3 for i in range(len(want))]
+            assert abs(got[2 * k + 1] - max(sums)) < 1e-9
+
+
+def test_toxicity_tables_are_bounded(spark):
+    rows = frame(spark, [(k % 2, f"word{k} follows word{k % 9} here") for k in range(60)], "label int, text string")
+    small = toxicity.fit_counts(rows, max_words=10, max_pairs=7)
+    assert len(small.words) <= 10 and len(small.pairs) == 7 and np.isfinite(small.evidence(pa.array(["word3 follows here", "x"]))).all()
+
+
+def test_toxicity_columns(spark):
+    docs = frame(spark, [(1, "a b", 1.0, "x"), (1, "a b", 1.0, "x"), (2, "word " * 30_000, 2.0, None)], "doc_id long, text string, score double, Evidence string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, None)], "doc_id long, toxic int")
+    out = toxicity.train(docs, labels).score(docs)
+    assert sorted(out.columns) == ["doc_id", "mean_ratio", "score", "stretch_ratio"] and out.count() == 3
+
+
 def test_toxicity_back_off_of_all_documents(spark):
     labelled = [(0, "some words here"), (1, "some harsh words")] * 3
-    alone = toxicity.fit_counts(frame(spark, labelled, "label int, text string"), min_count=1).choices[0]
-    more = toxicity.fit_counts(frame(spark, [*labelled, (2, "hers herd herb here we some hero")], "label int, text string"), min_count=1).choices[0]
+    alone = toxicity.fit_counts(frame(spark, labelled, "label int, text string")).choices[0]
+    more = toxicity.fit_counts(frame(spark, [*labelled, (2, "hers herd herb here we some hero")], "label int, text string")).choices[0]
     assert alone.p.shape == more.p.shape and not np.allclose(alone.p, more.p)
 
 
