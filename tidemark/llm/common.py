@@ -17,9 +17,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share; a local one only where none is named and the session is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.gettempdir() + "/tidemark-checkpoints"
         spark.conf.set("spark.checkpoint.dir", path) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return path.rstrip("/")
@@ -64,3 +66,15 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # no glibc
         pass
+
+
+def releasing(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow, giving memory back after each batch that it yields."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in function(batches):
+            yield batch
+            del batch
+            release()
+
+    return run
