@@ -453,3 +453,21 @@ def test_pipeline_stages(spark):
         assert set(kept) <= ids and len(kept) == len(set(kept)) and len(kept) > 0.5 * len(ids)
     shards = corpus_pipeline.run(spark, path)
     assert shards.count() > 0 and "shard" in shards.columns
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    docs = frame(spark, [(1, "a b", "mine", 2.0), (1, "a b", "mine", 2.0), (2, None, None, None)], "doc_id long, text string, stats string, Score double")
+    out = quality.score(docs, quality.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")))
+    assert out.columns == ["doc_id", "stats", "score"] and sorted(str(r["stats"]) for r in out.collect()) == ["None", "mine", "mine"]
+
+
+def test_quality_columns_equal_the_model(spark):
+    """The rules compiled into column expressions give what the model gives in numpy."""
+    random.seed(31)
+    docs = frame(spark, [(k, " ".join(random.choice(["Good", "text", "here.", "$$", "x1", "BUY"]) for _ in range(random.randrange(60)))) for k in range(80)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    rows = quality.with_statistics(docs).collect()
+    want = dict(zip([r["doc_id"] for r in rows], model.predict(np.array([r["stats"] for r in rows])), strict=True))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)

@@ -35,6 +35,7 @@ from .textbatch import IDENTITY, NOT_SPACE, doc_words, mix
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
 MAX_SHARDS = 4096
+RUN_SLOTS = 1 << 14
 WEIGHTS = (5, 2, 1)
 _U = np.uint64
 
@@ -214,7 +215,9 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
     inner = Window.partitionBy("sid", "bucket").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(offsets, ["sid", "bucket"]).withColumn("start", F.col("offset") + F.col("inner")).drop("bucket", "offset", "inner")
     shards = spark.createDataFrame(draw_shards(sources, seed), "shard int, sid int, first bigint, n bigint")
-    slots = shards.repartition(F.col("shard"), F.col("sid")).select("shard", "sid", F.explode(F.sequence(F.col("first"), F.expr("first + n - 1"))).alias("slot"))
+    end = F.col("first") + F.col("n") - 1
+    runs = shards.select("shard", "sid", end.alias("end"), F.explode(F.sequence(F.col("first"), end, F.lit(RUN_SLOTS))).alias("from")).repartition(F.col("shard"), F.col("sid"), F.col("from"))  # no array of a shard's slots
+    slots = runs.select("shard", "sid", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + RUN_SLOTS - 1, F.col("end")))).alias("slot"))
     blocks, size_of = [max(1, -(-s.size // block_words)) for s in sources], [s.size for s in sources]
     slots = slots.mapInArrow(_map_slots(blocks, size_of, [(s.slots - 1, s.last_words) for s in sources], block_words, seed), "shard int, slot bigint, sid int, block bigint, take bigint")
     return Mix(sizes, slots, sources, block_words)

@@ -257,5 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: s
 
 
 def score(docs: DataFrame, model: RuleModel, *, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with score; scores come from the text alone."""
-    return with_statistics(docs, text).withColumn("score", model.score(F.col("stats"))).drop("stats")
+    """``docs`` without the text, with score; scores come from the text alone. A column score is replaced, all others stay."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() != "score"]
+    packed = docs.select((F.struct(*kept) if kept else F.lit(None).cast("boolean")).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    scored = with_statistics(packed, "_text").withColumn("score", model.score(F.col("stats")))
+    return scored.select("_row.*", "score") if kept else scored.select("score")
