@@ -1,4 +1,10 @@
-"""Documents to a training mix: STAGES in order, each written as Parquet and read by the next."""
+"""Documents to a training mix: STAGES in order, each written as Parquet and read by the next.
+
+Defined cases, in every stage: an empty table gives an empty one; null and empty texts are scored from the text alone by the
+first stage, are no near duplicates, hold no benchmark passage and, having no words, go in the third; rows
+that repeat are one group in the second, of which one stays; ties are broken by doc_id; very long texts are read whole; further
+columns are kept whatever their names, up to the last two stages, which add their own.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, mixing, ngramjoin, quality, sharding
 from tidemark.llm.common import durable, read
 
-#: SQL cannot express the learned and the drawn stages; tests compare them with plain versions.
+#: SQL cannot express the learned and the drawn stages; tests compare the operators with plain versions.
 ORACLE_SQL = None
 
 
