@@ -33,7 +33,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import q_aggregates, q_clusters, q_dataset, q_dayloop, q_features, q_joins, q_labels, q_models, q_portfolio, q_rows, q_streams, q_windows  # noqa: F401
+    from . import q_aggregates, q_clusters, q_dataset, q_dayloop, q_features, q_joins, q_labels, q_models, q_more, q_portfolio, q_rows, q_streams, q_windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

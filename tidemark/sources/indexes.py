@@ -30,3 +30,19 @@ def missing_weekdays(days: DataFrame, first: str, last: str) -> DataFrame:
     spark = days.sparkSession
     wanted = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day")).filter(F.weekday("day") < 5)
     return wanted.join(days.select("day").distinct(), "day", "left_anti")
+
+
+#: Files that are no ownership document, and names to prefer, in order.
+NOT_OWNERSHIP = ("filingsummary.xml", "metadata.xml")
+PREFERRED = ("primary_doc.xml", "form4.xml", "form3.xml", "form5.xml")
+
+
+def pick_document(files: DataFrame) -> DataFrame:
+    """(filing, name): of a filing's files (filing, name, place) the preferred XML file, else one named after a form, else the first."""
+    low = F.lower("name")
+    kept = files.filter(low.endswith(".xml") & ~low.isin(*NOT_OWNERSHIP) & ~F.regexp_like(low, F.lit(r"^r\d+\.xml$")))
+    rank = F.lit(len(PREFERRED) + 1)
+    rank = F.when(F.regexp_like(low, F.lit(r"form[345]|^wf-form")), len(PREFERRED)).otherwise(rank)
+    for k in reversed(range(len(PREFERRED))):
+        rank = F.when(low == PREFERRED[k], k).otherwise(rank)
+    return kept.groupBy("filing").agg(F.min_by("name", F.struct(rank, "place")).alias("name"))
