@@ -1,8 +1,8 @@
 """Documents to a training mix: STAGES in order, each written as Parquet and read by the next.
 
 Defined cases, in every stage: an empty table gives an empty one; null and empty texts are scored from the text alone by the
-first stage, are no near duplicates, hold no benchmark passage and, having no words, go in the third; rows
-that repeat are one group in the second, of which one stays; ties are broken by doc_id; very long texts are read whole; further
+first stage, are no near duplicates, hold no benchmark passage, and have no words that the mix could take; rows
+that repeat are one group in the second, of which one stays; documents that the third cuts to nothing go; ties are broken by doc_id; very long texts are read whole; further
 columns are kept whatever their names, up to the last two stages, which add their own.
 """
 
