@@ -9,14 +9,23 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def accept_by_slots(trades: DataFrame, slots: int, by: str = "strategy") -> DataFrame:
     """Trades (by, trade_id, entry_idx, exit_idx, score) that a book of ``slots`` takes.
 
     In order of entry, best score first, then trade_id; a slot is free again on its exit index.
+    Of trades that occupy a slot, one behind ``slots`` others of its entry index can't be taken, so it is left out before
+    the loop; a book's group is bounded by its entry days, and by trades that end where they begin.
     """
+    floating = trades.schema["score"].dataType.simpleString() in ("double", "float")
+    best = (F.nanvl("score", F.lit(None).cast("double")) if floating else F.col("score")).desc_nulls_last()
+    occupies = F.coalesce(F.col("exit_idx") > F.col("entry_idx"), F.lit(True))
+    place = F.row_number().over(Window.partitionBy(by, "entry_idx").orderBy(best, "trade_id"))
+    first = trades.filter(occupies).withColumn("_place", place).filter(F.col("_place") <= slots).drop("_place")
+    trades = first.unionByName(trades.filter(~occupies))
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["entry_idx", "score", "trade_id"], ascending=[True, False, True])
