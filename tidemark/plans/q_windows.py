@@ -55,7 +55,7 @@ _SCORES = ", scored AS (SELECT issuer, tx_date AS date, idx, sum(value) AS score
 
 def _scored(spark, sf_dir):
     """A score for each issuer and day: rounded so that average ranks meet no float noise."""
-    totals = B.buys(spark, sf_dir).groupBy("issuer", F.col("tx_date").alias("date")).agg(F.sum("value").alias("score"))
+    totals = B.buys(spark, sf_dir).groupBy("issuer", F.col("tx_date").alias("date")).agg(F.round(F.sum("value"), 4).alias("score"))
     return totals.join(F.broadcast(B.calendar(spark, sf_dir)), "date")
 
 
