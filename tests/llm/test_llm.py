@@ -471,3 +471,15 @@ def test_quality_columns_equal_the_model(spark):
     want = dict(zip([r["doc_id"] for r in rows], model.predict(np.array([r["stats"] for r in rows])), strict=True))
     got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_workers_of_quality_and_mixing_give_memory_back(spark, monkeypatch):
+    """Idle Python workers count against the executor, so what reads whole texts releases after each batch."""
+    from tidemark.llm import mixing, quality
+
+    seen = []
+    for module in (quality, mixing):
+        monkeypatch.setattr(module, "releasing", lambda f: seen.append(f) or f)
+    docs = spark.createDataFrame([(1, "a b c", "s"), (2, "d e", None)], "doc_id long, text string, source string")
+    assert quality.with_statistics(docs).count() == 2 and mixing.mixed_documents(docs).count() >= 2
+    assert len(seen) == 3

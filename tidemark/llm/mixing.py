@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, releasing
 from .textbatch import IDENTITY, NOT_SPACE, doc_words, mix
 
 BLOCK_WORDS = 64
@@ -200,7 +200,7 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), *_row_key(source, text), F.col(text).alias("text"))
-    rows = durable(rows.mapInArrow(_sizes("text"), f"doc_id {kind}, source string, key bigint, tie bigint, size bigint"))
+    rows = durable(rows.mapInArrow(releasing(_sizes("text")), f"doc_id {kind}, source string, key bigint, tie bigint, size bigint"))
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row a source
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sources = [Source(r["source"], weights[k % len(weights)], r["size"]) for k, r in enumerate(found)]
@@ -279,5 +279,5 @@ def mixed_documents(docs: DataFrame, *, text: str = "text", source: str = "sourc
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_row_key(source, text))
     keyed = keyed.withColumn("nth", F.row_number().over(same.orderBy(F.lit(0))))
     both = keyed.join(spans, ["key", "tie", "nth"]).select("row.*", "spans")
-    out = both.mapInArrow(_rebuild(text), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    out = both.mapInArrow(releasing(_rebuild(text)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
