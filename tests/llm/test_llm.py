@@ -2,15 +2,17 @@
 
 import collections
 import hashlib
+import pickle
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, fingerprints, licenses, mixing, ngramjoin, quality, queries, sharding, substrings, toxicity
+from tidemark.llm import chat, common, decontaminate, fingerprints, licenses, mixing, ngramjoin, quality, queries, sharding, substrings, toxicity
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 SPACED = re.compile("[^\x20\x09-\x0d]+")
@@ -483,3 +485,25 @@ def test_workers_of_quality_and_mixing_give_memory_back(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c", "s"), (2, "d e", None)], "doc_id long, text string, source string")
     assert quality.with_statistics(docs).count() == 2 and mixing.mixed_documents(docs).count() >= 2
     assert len(seen) == 3
+
+
+def test_durable_leaves_no_shuffle_files(spark):
+    left = lambda: {b.toString() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if "shuffle_" in b.toString()}
+    before = left()
+    out = common.durable(spark.range(2000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not (new := left() - before):
+            break
+        time.sleep(0.1)
+    assert not new and out.count() == 7 and spark.conf.get(common._CLEANUP) == "false"
+
+
+def test_toxicity_driver_keeps_counts_only(spark):
+    rows = frame(spark, [(k % 2, f"word{k} follows word{k % 9} here") for k in range(60)], "label int, text string")
+    counted = toxicity.fit_counts(rows)
+    sent = pickle.loads(pickle.dumps(counted))
+    assert "choices" not in vars(counted) and "choices" not in vars(sent)  # worked out by the workers, not on the driver
+    texts = pa.array(["word3 follows here", "x", None])
+    assert np.array_equal(sent.evidence(texts), counted.evidence(texts))
+    model = toxicity.train(frame(spark, [(k, f"{'vile' if k % 2 else 'mild'} word{k % 9} here") for k in range(200)]), spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int"))
+    assert "choices" not in vars(model.counts) and len(model.counts.discounts) == 1
