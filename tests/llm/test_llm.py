@@ -507,3 +507,17 @@ def test_toxicity_driver_keeps_counts_only(spark):
     assert np.array_equal(sent.evidence(texts), counted.evidence(texts))
     model = toxicity.train(frame(spark, [(k, f"{'vile' if k % 2 else 'mild'} word{k % 9} here") for k in range(200)]), spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int"))
     assert "choices" not in vars(model.counts) and len(model.counts.discounts) == 1
+
+
+def test_substrings_asks_only_for_runs_that_may_share_a_window():
+    random.seed(8)
+    other = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+
+    def asked(shared):
+        rows = [other(200) + shared + other(200) for _ in range(40)]
+        table = pa.table({"id": pa.array(range(40), pa.int64()), "text": pa.array([r.encode() for r in rows]), "chunk": pa.array([0] * 40, pa.int64())})
+        found = substrings._compare_runs(substrings._emit_runs(50, 16, 1)(table))
+        return sum(len(p) // 12 for k, p in zip(found.column("kind").to_pylist(), found.column("payload").to_pylist(), strict=True) if k == 2)
+
+    assert asked(other(22)) == 0  # the minimizer is shared, but no side of 17 bytes
+    assert asked(other(70)) > 0

@@ -10,10 +10,14 @@ Pass 1, digit: the window's minimizer, the ``GRAM``-byte string of least hash in
     windows travels as one record, not as many.
 Pass 2, digit: the run's whole content. Runs equal to one of a smaller document are removed
     at once, so copies and shared passages end here, however many they are.
-Pass 3: what is left are runs that share a minimizer but differ (edges of edits, chance).
+    A window that two other runs share reaches ``(length - gram) / 2`` bytes or more beyond the minimizer on one side, so
+    only runs whose left or right sides of that length agree (by 16-bit hashes), in different documents, go on.
+Pass 3: what is left are runs that share a minimizer and a side but differ (edges of edits, chance).
     One run of each content is sent with its bytes, and its windows are radix sorted by
     eight bytes at a time, to ``length`` bytes and no further.
 
+Results of passes 1 to 3 are written before the next, so that only one pass's shuffle is on disk.
+
 Documents are dealt in chunks by a hash of their id and the chunk number grows with the
 data, so a task holds a few MB of text. Records are combined within a chunk before they
 are shuffled: a passage that a third of all documents share costs one record a chunk.
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, text_bytes
+from .common import durable, release, text_bytes
 from .textbatch import column_bytes, prefix_hash, slices, span_hash
 
 LENGTH = 50
@@ -68,6 +72,17 @@ class Runs:
         self.digit = span_hash(sums, inv, where, where + gram) >> _U(16)
         self.content = span_hash(sums, inv, start, stop + length - 1) >> _U(16)
         self.doc = np.searchsorted(self.offs, start, "right") - 1
+        self._sides = lambda: self._side_hashes(sums, inv, where, gram)
+
+    @property
+    def sides(self) -> np.ndarray:
+        """Hashes of the bytes left and right of the minimizer, 16 bits each; 0 where the run has too few."""
+        return self._sides()
+
+    def _side_hashes(self, sums: np.ndarray, inv: np.ndarray, where: np.ndarray, gram: int) -> np.ndarray:
+        half = -(-(self.length - gram) // 2)
+        side = lambda a, known: np.where(known, np.maximum(span_hash(sums, inv, np.where(known, a, 0), np.where(known, a + half, 0)) >> _U(48), _U(1)), _U(0))
+        return side(where - half, where - self.start >= half) << _U(16) | side(where + gram, self.stop + self.length - 1 - where - gram >= half)
 
     def _piece(self, sums: np.ndarray, inv: np.ndarray, a: int, b: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         grams = np.arange(a, b + self.length - gram)
@@ -140,14 +155,14 @@ def _dealt(to: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> Iterator[tu
         yield int(to[part[0]]), _pack(*((c[part], w) for c, w in columns))
 
 
-def _least(table: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (digit, content) of a chunk with the least id that holds each."""
+def _least(table: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (digit, content) of a chunk, in order, with the least id that holds each and its sides."""
     ids = _ids(table)
-    found = [(r.digit, r.content, ids[d:e][r.doc]) for d, e, r in runs_of(table, length, gram)]
-    digit, content, doc = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in range(3))
+    found = [(r.digit, r.content, ids[d:e][r.doc], r.sides) for d, e, r in runs_of(table, length, gram)]
+    digit, content, doc, sides = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in range(4))
     order, new = _groups(digit, content, doc.astype(np.int64))
     keep = order[_groups_first(digit[order], content[order])]
-    return digit[keep], content[keep], doc[keep].astype(np.int64)
+    return digit[keep], content[keep], doc[keep].astype(np.int64), sides[keep]
 
 
 def _groups_first(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -162,8 +177,10 @@ def _emit_runs(length: int, gram: int, buckets: int):
     """Passes 1 and 2, a chunk's part: its distinct runs, dealt by minimizer."""
 
     def run(table: pa.Table) -> pa.Table:
-        digit, content, doc = _least(table, length, gram)
-        rows = list(_dealt(_bucket(digit, buckets), [(digit, 6), (content, 6), (doc, 8)]))
+        digit, content, doc, sides = _least(table, length, gram)
+        to = _bucket(digit, buckets)  # grows with the digit
+        step = np.where(np.diff(to, prepend=-1) != 0, digit, np.diff(digit, prepend=_U(0)))  # small, but for a payload's first
+        rows = list(_dealt(to, [(step, 6), (content, 6), (doc, 8), (sides, 4)]))
         chunk = table.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -171,19 +188,26 @@ def _emit_runs(length: int, gram: int, buckets: int):
 
 
 def _compare_runs(table: pa.Table) -> pa.Table:
-    """Kind 1: runs that a smaller document holds. Kind 2: firsts of their content whose minimizer has other contents."""
-    parts = [(c, _unpack(p, 6, 6, 8)) for c, p in zip(table.column("chunk").to_pylist(), table.column("payload").to_pylist(), strict=True)]
-    digit, content, doc = (np.concatenate([p[k] for _, p in parts]) for k in range(3))
+    """Kind 1: runs that a smaller document holds. Kind 2: firsts of their content that may share a window with another content."""
+    parts = [(c, _unpack(p, 6, 6, 8, 4)) for c, p in zip(table.column("chunk").to_pylist(), table.column("payload").to_pylist(), strict=True)]
+    digit = np.concatenate([np.cumsum(p[0]) for _, p in parts])
+    content, doc, sides = (np.concatenate([p[k] for _, p in parts]) for k in range(1, 4))
     chunk = np.repeat(np.array([c for c, _ in parts], np.int64), [len(p[0]) for _, p in parts])
     doc = doc.view(np.int64)
     order = np.lexsort((doc, content, digit))
-    digit, content, doc, chunk = digit[order], content[order], doc[order], chunk[order]
+    digit, content, doc, chunk, sides = digit[order], content[order], doc[order], chunk[order], sides[order]
     first = _groups_first(digit, content)
     least = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
     repeated = doc > least
-    kinds = _groups_first(digit[first])  # among the distinct contents, the first of each minimizer
-    n_of = np.diff(np.append(kinds, len(first)))
-    several = first[np.repeat(n_of > 1, n_of)]
+    asked = np.zeros(len(first), bool)  # among the distinct contents
+    for side in (sides[first] >> _U(16), sides[first] & _U(0xFFFF)):
+        at = np.flatnonzero(side)
+        at = at[np.lexsort((side[at], digit[first[at]]))]
+        if len(at):
+            group = _groups_first(digit[first[at]], side[at])
+            some = np.minimum.reduceat(doc[first[at]], group) < np.maximum.reduceat(doc[first[at]], group)
+            asked[at] |= np.repeat(some, np.diff(np.append(group, len(at))))
+    several = first[asked]
     rows = [(1, *r) for r in _dealt(chunk[repeated], [(digit[repeated], 6), (content[repeated], 6)])]
     rows += [(2, *r) for r in _dealt(chunk[several], [(digit[several], 6), (content[several], 6)])]
     return pa.table({"chunk": pa.array([r[1] for r in rows], pa.int64()), "kind": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
@@ -311,7 +335,7 @@ def _remove(length: int, gram: int, keep_text: bool):
         ids = _ids(table) if n else np.zeros(0, np.int64)
         out_n, out_removed, out_spans, out_sha, out_text = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
         if n:
-            digit, content, doc = _least(table, length, gram)
+            digit, content, doc, _ = _least(table, length, gram)
             full = _listed(messages, 1, 6, 6)
             some = _listed(messages, 3, 6, 6, 8)
             gone = _pair_index(digit, content, *full) >= 0
@@ -387,10 +411,10 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH,
     by_chunk = dealt.groupBy("chunk")
     message = "chunk bigint, kind int, payload binary"
     runs = by_chunk.applyInArrow(_released(_emit_runs(length, gram, buckets)), "bucket bigint, chunk bigint, payload binary")
-    compared = runs.groupBy("bucket").applyInArrow(_released(_compare_runs), message)
+    compared = durable(runs.groupBy("bucket").applyInArrow(_released(_compare_runs), message))
     asked = compared.filter("kind = 2")
     sent = by_chunk.cogroup(asked.groupBy("chunk")).applyInArrow(_released(_emit_bytes(length, gram, buckets)), "bucket bigint, chunk bigint, payload binary, bytes binary")
-    masks = sent.groupBy("bucket").applyInArrow(_released(_sort_windows(length)), message)
+    masks = durable(sent.groupBy("bucket").applyInArrow(_released(_sort_windows(length)), message))
     told = compared.filter("kind = 1").unionByName(masks)
     result = f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * keep_text
     return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_released(_remove(length, gram, keep_text)), result)
