@@ -249,6 +249,19 @@ def test_mixing(spark):
     assert {r["source"]: r["n"] for r in words} == {s: t for s, t in taken.items() if t}
 
 
+def test_mixing_keeps_shards_off_the_driver_and_slots_in_many_tasks(spark, monkeypatch):
+    for name, value in (("SHARD_SLOTS", 8), ("TASK_SLOTS", 64)):
+        monkeypatch.setattr(mixing, name, value, raising=False)
+    df = frame(spark, [(i, f"s{i % 6}", "w " * 300) for i in range(60)], "doc_id long, source string, text string")
+    given, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: (given.append(len(data)), create(self, data, *a, **b))[1])
+    m = mixing.mix_sources(df, block_words=4)
+    rows = m.slots.withColumn("task", F.spark_partition_id()).collect()
+    assert max(given) <= len(m.sources)  # before: a row a shard and source
+    assert len({r["task"] for r in rows}) > 1  # before: merged into one task
+    assert sorted((r["sid"], r["slot"]) for r in rows) == [(k, i) for k, s in enumerate(m.sources) for i in range(s.slots)]
+
+
 def test_permutation():
     for n in (1, 2, 7, 64, 1000):
         index = np.arange(n)

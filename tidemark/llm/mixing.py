@@ -12,8 +12,9 @@
 5. Slots and blocks are joined by (source, block index).
 
 Stream offsets are two-level prefix sums over about sqrt(rows) hash buckets, so no task
-holds a whole source. Only one row for each source and each of at most ``MAX_SHARDS`` shards is
-handled on the driver. The result is a function of the rows and ``seed``.
+holds a whole source. The driver handles one row for each source only: the counts of the at most
+``MAX_SHARDS`` shards are drawn by one task that streams them, a shard at a time. The result is a
+function of the rows and ``seed``.
 
 Defined cases: null and empty texts have size 0 and take 0; null is a source of its own;
 repeated rows each have a place of their own in the stream; an empty table gives no rows.
@@ -29,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, releasing
+from .common import durable, partitions, releasing
 from .textbatch import IDENTITY, NOT_SPACE, doc_words, mix
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
 MAX_SHARDS = 4096
 RUN_SLOTS = 1 << 14
+TASK_SLOTS = 1 << 16
 WEIGHTS = (5, 2, 1)
 _U = np.uint64
 
@@ -124,21 +126,32 @@ def plan_slots(s: Source, k: int, block: int, seed: int) -> None:
     s.last_words = rest - full(n - 1)
 
 
-def draw_shards(sources: list[Source], seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): multinomial counts over what each source has left."""
-    left = np.array([s.slots for s in sources], np.int64)
+def draw_shards(slots: list[int], seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slots, slots) with a value a source: multinomial counts over what each source has left."""
+    left = np.array(slots, np.int64)
     total = int(left.sum())
     shards = min(max(1, -(-total // SHARD_SLOTS)), MAX_SHARDS)
-    rng, taken, out = np.random.default_rng(seed), np.zeros(len(left), np.int64), []
+    rng, taken = np.random.default_rng(seed), np.zeros(len(left), np.int64)
     for shard in range(shards):
         size = total * (shard + 1) // shards - total * shard // shards
         counts = np.zeros(len(left), np.int64)
         while need := size - int(counts.sum()):
             rest = left - counts
             counts += np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
-        out += [(shard, k, int(taken[k]), int(c)) for k, c in enumerate(counts) if c]
+        yield shard, taken, counts
         taken, left = taken + counts, left - counts
-    return out
+
+
+def _draw(slots: list[int], seed: int):
+    """Rows (shard, sid, first, n) of the sources that each shard takes from, a batch a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, first, n in draw_shards(slots, seed) if batch.num_rows else ():
+                sid = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid), shard), pa.int32()), pa.array(sid, pa.int32()), pa.array(first[sid]), pa.array(n[sid])], ["shard", "sid", "first", "n"])
+
+    return run
 
 
 def _sizes(text: str):
@@ -214,9 +227,11 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
     offsets = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("offset", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).drop("in_bucket")
     inner = Window.partitionBy("sid", "bucket").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(offsets, ["sid", "bucket"]).withColumn("start", F.col("offset") + F.col("inner")).drop("bucket", "offset", "inner")
-    shards = spark.createDataFrame(draw_shards(sources, seed), "shard int, sid int, first bigint, n bigint")
+    counts = [s.slots for s in sources]
+    shards = spark.range(1, numPartitions=1).mapInArrow(_draw(counts, seed), "shard int, sid int, first bigint, n bigint")
+    tasks = max(1, min(-(-sum(counts) // TASK_SLOTS), partitions(spark)))
     end = F.col("first") + F.col("n") - 1
-    runs = shards.select("shard", "sid", end.alias("end"), F.explode(F.sequence(F.col("first"), end, F.lit(RUN_SLOTS))).alias("from")).repartition(F.col("shard"), F.col("sid"), F.col("from"))  # no array of a shard's slots
+    runs = shards.select("shard", "sid", end.alias("end"), F.explode(F.sequence(F.col("first"), end, F.lit(RUN_SLOTS))).alias("from")).repartition(tasks, F.col("shard"), F.col("sid"), F.col("from"))  # no array of a shard's slots; a number, else Spark merges these few rows into one task
     slots = runs.select("shard", "sid", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + RUN_SLOTS - 1, F.col("end")))).alias("slot"))
     blocks, size_of = [max(1, -(-s.size // block_words)) for s in sources], [s.size for s in sources]
     slots = slots.mapInArrow(_map_slots(blocks, size_of, [(s.slots - 1, s.last_words) for s in sources], block_words, seed), "shard int, slot bigint, sid int, block bigint, take bigint")
