@@ -262,6 +262,14 @@ def test_mixing_keeps_shards_off_the_driver_and_slots_in_many_tasks(spark, monke
     assert sorted((r["sid"], r["slot"]) for r in rows) == [(k, i) for k, s in enumerate(m.sources) for i in range(s.slots)]
 
 
+def test_mixing_broadcasts_no_slots(spark):
+    df = frame(spark, [(i, f"s{i % 6}", "w " * 300) for i in range(60)], "doc_id long, source string, text string")
+    for out in (mixing.mix_sources(df).pieces(), mixing.taken_words(df), mixing.mixed_documents(df)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [sid" in plan and not re.search(r"BroadcastHashJoin \[(sid#\d+L?, block|sid#\d+L?, start|key)", plan)
+
+
 def test_permutation():
     for n in (1, 2, 7, 64, 1000):
         index = np.arange(n)

@@ -206,7 +206,8 @@ class Mix:
         cut = self.sizes.filter("size > 0").select("key", "tie", "sid", "start", "size", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))).alias("block"))
         taken = self.slots.groupBy("sid", "block", "take").agg(F.count("*").alias("times"))
         lo, hi = F.greatest("start", F.col("block") * b), F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("take"))
-        return cut.join(taken, ["sid", "block"]).select("key", "tie", "sid", "start", "size", (lo - F.col("start")).alias("at"), (hi - lo).alias("words"), "times").filter("words > 0")
+        # Spark takes what explode makes for as small as its input; without the hint it broadcasts all slots
+        return cut.join(taken.hint("merge"), ["sid", "block"]).select("key", "tie", "sid", "start", "size", (lo - F.col("start")).alias("at"), (hi - lo).alias("words"), "times").filter("words > 0")
 
 
 def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, max_repeats: float = 3.0, seed: int = 20_240_501) -> Mix:
@@ -243,7 +244,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     m = mix_sources(docs, **options)
     taken = m.pieces().groupBy("sid", "start", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     facts = m.sizes
-    some = facts.filter("size > 0").alias("f").join(taken.alias("t"), [F.col("f.sid") == F.col("t.sid"), F.col("f.start") == F.col("t.start"), F.col("f.size") == F.col("t.size")], "left")
+    some = facts.filter("size > 0").alias("f").join(taken.hint("merge").alias("t"), [F.col("f.sid") == F.col("t.sid"), F.col("f.start") == F.col("t.start"), F.col("f.size") == F.col("t.size")], "left")
     some = some.select("f.doc_id", "f.size", "f.source_size", "f.target", F.coalesce("t.taken", F.lit(0)).alias("taken"))
     return some.unionByName(facts.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken")))
 
@@ -293,6 +294,6 @@ def mixed_documents(docs: DataFrame, *, text: str = "text", source: str = "sourc
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_row_key(source, text))
     keyed = keyed.withColumn("nth", F.row_number().over(same.orderBy(F.lit(0))))
-    both = keyed.join(spans, ["key", "tie", "nth"]).select("row.*", "spans")
+    both = keyed.join(spans.hint("merge"), ["key", "tie", "nth"]).select("row.*", "spans")
     out = both.mapInArrow(releasing(_rebuild(text)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
