@@ -130,10 +130,12 @@ def e08_spans(spark, sf_dir):
 
 @query("s05_dashboard_order", B.sql(_PCT + ", v AS (SELECT issuer, pct, CASE WHEN pct >= 90 THEN 0 WHEN pct >= 70 THEN 1 ELSE 2 END AS rank FROM p) SELECT issuer, row_number() OVER (ORDER BY rank, pct DESC, issuer) AS place FROM v"))
 def s05_dashboard_order(spark, sf_dir):
-    """A stable order by several keys, here over one row an issuer."""
+    """A stable order by several keys, here over one row an issuer. Issuers of the same total tie, whatever the order of their rows."""
     from pyspark.sql import Window
 
-    totals = B.buys(spark, sf_dir).groupBy("issuer").agg(F.sum("value").alias("v"))
+    from ..operators.stats import exact_sum
+
+    totals = B.buys(spark, sf_dir).groupBy("issuer").agg(exact_sum("value").alias("v"))
     rows = totals.select("issuer", F.round(F.percent_rank().over(Window.orderBy("v")) * 100, 6).alias("pct")).withColumn("rank", F.when(F.col("pct") >= 90, 0).when(F.col("pct") >= 70, 1).otherwise(2))
     return rows.select("issuer", F.row_number().over(Window.orderBy("rank", F.desc("pct"), "issuer")).cast("bigint").alias("place"))
 
